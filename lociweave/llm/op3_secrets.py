@@ -143,5 +143,23 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_scan_batches, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string")
 
 
+def _redact_batches(it):
+    for batch in it:
+        at = batch.schema.get_field_index("text")
+        texts = batch.column(at).to_pylist()
+        cleaned = [redact(t, spans) if t and (spans := scan(t)[1]) else t for t in texts]
+        batch = batch.set_column(at, batch.schema.field(at), pa.array(cleaned, pa.string()))
+        size = batch.schema.get_field_index("n_chars")
+        if size >= 0:
+            n = [c if a == b else len(b) for a, b, c in zip(texts, cleaned, batch.column(size).to_pylist(), strict=True)]
+            batch = batch.set_column(size, batch.schema.field(size), pa.array(n, batch.schema.field(size).type))
+        yield batch
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """docs, same columns, with the values of all spans replaced (and n_chars, if there, to match)."""
+    return docs.mapInArrow(_redact_batches, docs.schema)
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("redacted")

@@ -1,66 +1,18 @@
-"""Shared Spark plumbing of the corpus operators: staged tables, row keys, global numbering."""
+"""Row keys of the corpus operators."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import drop_staged, release, shared_dir, stage  # noqa: F401
+
 #: A null doc_id is ordered after every other id.
 NULL_ID = (1 << 63) - 1
 #: Rows that share a doc_id are told apart by so many bits of the text's crc32.
 TAG_BITS = 20
 TAG = (1 << TAG_BITS) - 1
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only set here where the session has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="lociweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it back: lineage ends here, and lost
-    executors cost no recomputation beyond it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lociweave/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append((spark, path))
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def drop_staged(spark: SparkSession, keep: int = 0) -> None:
-    """Deletes the staged tables of this process; their results must have been read before."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while len(_made) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop()[1])
-        path.getFileSystem(conf).delete(path, True)
-
-
-@atexit.register
-def _at_exit() -> None:
-    if _made:
-        try:
-            drop_staged(_made[0][0])
-        except Exception:  # noqa: BLE001 - the JVM may be gone by now
-            pass
-
 
 def oid(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
