@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -26,7 +27,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     recomputation beyond it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lociweave/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # nothing else can use this execution's shuffle files: they need not wait for a garbage collection
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
     _made.append((spark, path))
     release(spark)
     return spark.read.schema(df.schema).parquet(path)
