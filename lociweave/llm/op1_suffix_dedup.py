@@ -55,8 +55,9 @@ class Bytes(Unit):
         n = len(values)
         none = np.zeros(0, np.int64)
         if n < self.window:
-            return none, none, none.view(U)
-        rank = Prefix(BYTE_VALUE[values]).windows(h)
+            return none, none, none.view(U), None
+        prefix = Prefix(BYTE_VALUE[values])
+        rank = prefix.windows(h)
         least = slide(rank, w, np.minimum)  # of the window that starts at each position
         size = np.diff(off)
         starts = np.zeros(n + 1, np.int8)  # window starts that stay in their document
@@ -66,7 +67,7 @@ class Bytes(Unit):
         least[np.cumsum(starts[: len(least)], dtype=np.int8) == 0] = 0
         pad = np.zeros(w - 1, U)
         pos = np.flatnonzero(slide(np.concatenate([pad, least, pad]), w, np.maximum)[: len(rank)] == rank)
-        return pos, np.searchsorted(off, pos, side="right") - 1, rank[pos]
+        return pos, np.searchsorted(off, pos, side="right") - 1, rank[pos], prefix
 
     def pack(self, got):
         return got.astype(np.uint8)

@@ -44,13 +44,14 @@ class Words(Unit):
         return name, np.searchsorted(doc, np.arange(len(off)), side="left")
 
     def anchors(self, values, off):
-        name = Prefix(values).windows(self.gram)
+        prefix = Prefix(values)
+        name = prefix.windows(self.gram)
         size = np.diff(off)
         doc = np.repeat(np.arange(len(size)), size)
         local = np.arange(len(values)) - np.repeat(off[:-1], size)
         ok = np.isin(local % PERIOD, COVER) & (size[doc] >= self.window) & (local + self.gram <= size[doc])
         pos = np.flatnonzero(ok)
-        return pos, doc[pos], name[pos]
+        return pos, doc[pos], name[pos], prefix
 
     def pack(self, got):
         """The names of the windows that start 0..6 words before the anchor."""

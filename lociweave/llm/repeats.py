@@ -2,17 +2,17 @@
 
 Shared by the byte operator (prefix doubling over sampled suffixes) and the word operator
 (difference-cover anchors). Both supply anchors: positions with the name of a short k-gram, chosen
-so that two equal windows always hold an equal anchor at the same place. Then
-
-1. anchors are dealt and sorted by name; names that only one document holds leave. Names frequent in
-   a sample of documents are known to be shared and are dealt at random instead (`heavy`), so no
-   task gets a hot name;
-2. the survivors meet their texts again and get the rank of their whole neighbourhood, i.e. of all
-   windows that hold the anchor. In a class of equal neighbourhoods everything but the smallest
-   doc_id is repeated; only smallest ones go on, and only where the name has several neighbourhoods;
-3. windows of those are ranked by name and sorted with their doc_id: a window is repeated if an
-   earlier document has it. Names with more than `hot` neighbourhoods take the same step as rows
-   dealt by the window's own name.
+so that two equal windows always hold an equal anchor at the same place. An anchor's rank names its
+whole neighbourhood, i.e. all windows that hold it. Then
+
+1. anchors are dealt by name and sorted by (name, rank, doc_id). Of equal neighbourhoods all but the
+   smallest doc_id's are repeated, with all their windows. A name with one neighbourhood, or of one
+   document, then leaves; of the others the smallest ones stay open. Names frequent in a sample of
+   documents (`heavy`) are dealt at random: each task then passes on one open row for each of their
+   neighbourhoods, so no task gets a hot name;
+2. open anchors meet their texts again; their windows are named and sorted with their doc_id: a window
+   is repeated if an earlier document has it. Names with more than `hot` open neighbourhoods take this
+   step as rows dealt by the window's own name.
 
 Every step is a shuffle by a name with Arrow batches streamed in sorted order: memory is bounded by
 a batch, `hot` neighbourhoods and one document's rows of one name. Nothing is dropped or capped.
@@ -25,17 +25,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sparkkit import keyed, stage
-from .textkit import U, chunks, mix, utf8
+from .textkit import Prefix, U, chunks, mix, utf8
 
 LOC = 40
 #: Neighbourhoods of one name that one task takes; beyond, they are dealt by window.
 HOT = 20_000
 SAMPLE = 64
+#: starts of an anchor all of whose windows are repeated, as far as its document has them.
+ALL = np.int64(-1)
 
 
 @dataclass(frozen=True)
@@ -48,8 +49,8 @@ class Unit:
         """(values, offsets): the units' values and each document's first unit."""
         raise NotImplementedError
 
-    def anchors(self, values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in values, document, name) of the anchors."""
+    def anchors(self, values: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Prefix]:
+        """(position in values, document, name) of the anchors; prefix sums of the values."""
         raise NotImplementedError
 
     @property
@@ -65,17 +66,25 @@ def _batches(it: Iterator[pa.RecordBatch], column: str = "text"):
             yield batch, data, off[i : j + 1], i, j
 
 
+def _edges(pos: np.ndarray, doc: np.ndarray, off: np.ndarray, unit: Unit) -> tuple[np.ndarray, np.ndarray]:
+    """Where each anchor's neighbourhood begins and ends, within its document."""
+    return np.maximum(pos - unit.reach, off[doc]), np.minimum(pos + unit.window, off[doc + 1])
+
+
 def _emit(unit: Unit, heavy: np.ndarray, sampled: bool):
     def run(it):
         for batch, data, off, i, j in _batches(it):
             values, uoff = unit.split(data, off)
-            pos, doc, name = unit.anchors(values, uoff)
+            pos, doc, name, prefix = unit.anchors(values, uoff)
             if not len(pos):
                 continue
+            name >>= U(16)  # it only chooses candidates
             if sampled:
                 both = np.unique(np.stack([name, doc.astype(U)]), axis=1)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64))], names=["name"])
                 continue
+            first, last = _edges(pos, doc, uoff, unit)
+            rank = mix(prefix.spans(first, last) + (pos - first).astype(U) * U(0x9E3779B97F4A7C15) + (last - pos).astype(U) * U(0xC2B2AE3D27D4EB4F))
             ids, tags = (batch.column(c).to_numpy(zero_copy_only=False)[i:j] for c in ("oid", "tag"))
             local = pos - uoff[doc]
             salt = np.zeros(len(pos), np.int64)
@@ -84,86 +93,89 @@ def _emit(unit: Unit, heavy: np.ndarray, sampled: bool):
                 hot = heavy[at] == name
                 salt[hot] = 1 + (mix(ids[doc[hot]].view(U)) >> U(44)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(name.view(np.int64)), pa.array(salt), pa.array(ids[doc]), pa.array(local | (tags[doc] << LOC))],
-                names=["name", "salt", "oid", "loc"],
+                [pa.array(name.view(np.int64)), pa.array(salt), pa.array(rank.view(np.int64)), pa.array(ids[doc]), pa.array(local | (tags[doc] << LOC))],
+                names=["name", "salt", "rank", "oid", "loc"],
             )
 
     return run
 
 
-def _shared_names(it: Iterator[pa.RecordBatch]):
-    """Of rows sorted by (name, oid): those whose name has several oids. Salted rows are known to."""
-    kept: list[np.ndarray] | None = None  # the last name's rows so far, all of one document
-    open_name, is_open = 0, False  # the last name is known to have several
+def _sort_out(it: Iterator[pa.RecordBatch]):
+    """Rows sorted by (name, rank, oid) -> (name, rank, oid, loc): name null if all windows are repeated,
+    else open. Of salted rows all smallest ones stay open."""
+    names = ["name", "rank", "oid", "loc"]
+    last = None  # (name, rank, least oid) of the last row
+    held: list[np.ndarray] | None = None  # open rows of the last name's first rank, while it has no other
+    several = False  # the last name has more ranks
+
+    def out(cols, done):
+        arrays = [pa.array(c) for c in cols]
+        if done:
+            n = len(cols[0])
+            arrays[:2] = [pa.nulls(n, pa.int64()), pa.array(np.zeros(n, np.int64))]
+        return pa.RecordBatch.from_arrays(arrays, names=names)
+
     for batch in it:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if not len(cols[0]):
+        name, salt, rank, ids, loc = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(name):
             continue
-        ready = cols[1] > 0
-        if ready.any():
-            out = [c[ready] for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(out[k]) for k in (0, 2, 3)], names=["name", "oid", "loc"])
-            cols = [c[~ready] for c in cols]
-            if not len(cols[0]):
-                continue
-        if kept is not None:
-            cols = [np.concatenate([a, b]) for a, b in zip(kept, cols, strict=True)]
-        name, _, ids, _ = cols
-        first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-        size = np.diff(np.concatenate([first, [len(name)]]))
-        several = ids[first] != ids[first + size - 1]
-        if is_open and name[0] == open_name:
-            several[0] = True
-        keep = np.repeat(several, size)
-        open_name, is_open = name[-1], bool(several[-1])
-        kept = None if is_open else [c[first[-1] :].copy() for c in cols]
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(cols[k][keep]) for k in (0, 2, 3)], names=["name", "oid", "loc"])
+        new_name = np.concatenate([[True], name[1:] != name[:-1]])
+        head = np.concatenate([[True], rank[1:] != rank[:-1]]) | new_name
+        least = ids[np.flatnonzero(head)][np.cumsum(head) - 1]
+        same_name = last is not None and name[0] == last[0]
+        same_rank = same_name and rank[0] == last[1]
+        if same_rank:
+            least[: _first_run(head)] = last[2]
+        done = ids > least
+        if done.any():
+            yield out([x[done] for x in (name, rank, ids, loc)], True)
+        # does each row's name have several ranks, as far as seen?
+        group = np.cumsum(new_name) - 1
+        kinds = np.bincount(group, head)
+        if same_name:
+            kinds[0] += several + (0 if same_rank else 1)
+            if held is not None and kinds[0] > 1:
+                yield out(held, False)
+                held = None
+        more = kinds > 1
+        salted = salt > 0
+        stay = ~done & (more[group] | salted)
+        if stay.any():
+            yield out([x[stay] for x in (name, rank, ids, loc)], False)
+        tail = ~done & (group == group[-1]) & ~more[-1] & ~salted
+        own = [x[tail].copy() for x in (name, rank, ids, loc)]
+        if not (same_name and group[-1] == 0):
+            held, several = None, False
+        if len(own[0]):
+            held = own if held is None else [np.concatenate([a, b]) for a, b in zip(held, own, strict=True)]
+        several = bool(more[-1])
+        last = (name[-1], rank[-1], least[-1])
 
 
 def _neighbourhoods(unit: Unit):
-    """The survivors with their surroundings; of equal ones in a batch only the smallest oid's stay
-    open, the others are repeated already (`around` null)."""
-    rng = np.random.default_rng(7)
-    left, width = unit.reach, unit.reach + unit.window
-    odd = rng.integers(1, 1 << 63, width + 1, dtype=np.uint64) * U(2) + U(1)
+    """Open anchors with what their windows are named by."""
+    left = unit.reach
 
     def run(it):
         for batch, data, off, i, j in _batches(it):
             hits = batch.column("hits").slice(i, j - i)
             count = np.diff(hits.offsets.to_numpy().astype(np.int64))
             flat = hits.flatten()
-            loc = flat.field("loc").to_numpy(zero_copy_only=False)
-            name = flat.field("name").to_numpy(zero_copy_only=False)
+            loc, name, rank = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("loc", "name", "rank"))
             doc = np.repeat(np.arange(j - i), count)
             ids = batch.column("oid").to_numpy(zero_copy_only=False)[i:j][doc]
             values, uoff = unit.split(data, off)
             for a in range(0, len(loc), 20_000):
-                d, o, nm, oids = doc[a : a + 20_000], loc[a : a + 20_000], name[a : a + 20_000], ids[a : a + 20_000]
+                s = slice(a, a + 20_000)
+                d, o = doc[s], loc[s]
                 p = (o & ((1 << LOC) - 1)) + uoff[d]
-                before = np.minimum(p - uoff[d], left)
-                after = np.minimum(uoff[d + 1] - p, unit.window)
+                first, last = _edges(p, d, uoff, unit)
                 at = p[:, None] + np.arange(-left, unit.window)
-                inside = (at >= uoff[d][:, None]) & (at < uoff[d + 1][:, None])
+                inside = (at >= first[:, None]) & (at < last[:, None])
                 got = np.where(inside, values[np.clip(at, 0, len(values) - 1)], 0)
-                edge = before | (after << 16)
-                rank = mix((got.astype(U) * odd[:-1]).sum(1, dtype=U) + edge.astype(U) * odd[-1])
-                rank ^= nm.view(U) >> U(1)
-                order = np.lexsort((oids, rank))
-                r = rank[order]
-                head = np.concatenate([[True], r[1:] != r[:-1]])
-                least = np.empty(len(r), np.int64)
-                least[order] = oids[order][np.flatnonzero(head)][np.cumsum(head) - 1]
-                done = least < oids
-                deal = np.where(done, mix((oids ^ o).view(U)).view(np.int64), nm)
-                around = np.ascontiguousarray(unit.pack(got)).view(np.uint8).reshape(len(p), -1)
-                lens = np.where(done, 0, around.shape[1])
-                blob = around[~done].tobytes()
-                offs = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
-                valid = pa.array(~done)
-                binary = pa.Array.from_buffers(pa.binary(), len(p), [valid.buffers()[1], pa.py_buffer(offs), pa.py_buffer(blob)])
+                edge = (p - first) | ((last - p) << 16)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(deal), pa.array(rank.view(np.int64)), pa.array(oids), pa.array(o), pa.array(edge.astype(np.int64)), binary],
+                    [pa.array(name[s]), pa.array(rank[s]), pa.array(ids[s]), pa.array(o), pa.array(edge.astype(np.int64)), _binary(np.ascontiguousarray(unit.pack(got)).view(np.uint8).reshape(len(p), -1))],
                     names=["name", "rank", "oid", "loc", "edge", "around"],
                 )
 
@@ -234,11 +246,6 @@ def _settle(unit: Unit, hot: int):
         for batch in it:
             nm, rank, oids, loc, edge = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
             around = batch.column(5)
-            shut = np.asarray(around.is_null())
-            if shut.any():
-                yield out(oids[shut], loc[shut], _bits(_valid(unit, edge[shut])))
-                nm, rank, oids, loc, edge = (x[~shut] for x in (nm, rank, oids, loc, edge))
-                around = around.filter(pa.array(~shut))
             if not len(nm):
                 continue
             data, off = utf8(around)
@@ -251,7 +258,7 @@ def _settle(unit: Unit, hot: int):
             last = (nm[-1], rank[-1], least[-1])
             done = oids > least
             if done.any():
-                yield out(oids[done], loc[done], _bits(_valid(unit, edge[done])))
+                yield out(oids[done], loc[done], np.full(int(done.sum()), ALL))
             rows = [x[~done] for x in (nm, rank, oids, loc, edge)] + [mat[~done]]
             if kept is not None:
                 rows = [np.concatenate([a, b]) for a, b in zip(kept, rows, strict=True)]
@@ -316,7 +323,6 @@ def _hot_windows(unit: Unit):
 def repeated_starts(docs: DataFrame, unit: Unit, hot: int = HOT) -> DataFrame:
     """(oid, tag, marks): marks are (pos, starts) with bit j of starts set if the window that starts
     j units before pos also starts in a document of a smaller oid. docs: oid, tag, text."""
-    spark = docs.sparkSession
     docs = docs.select("oid", "tag", "text")
     n = docs.count()
     heavy = np.zeros(0, U)
@@ -326,17 +332,19 @@ def repeated_starts(docs: DataFrame, unit: Unit, hot: int = HOT) -> DataFrame:
         often = sample.mapInArrow(_emit(unit, heavy, True), "name long").groupBy("name").count()
         often = often.filter(F.col("count") >= max(16, int(0.004 * n / SAMPLE)))
         heavy = np.sort(np.array([r.name for r in often.collect()], np.int64).view(U))
-    found = docs.mapInArrow(_emit(unit, heavy, False), "name long, salt long, oid long, loc long")
-    found = found.repartition("name", "salt").sortWithinPartitions("name", "oid")
-    shared = stage(found.mapInArrow(_shared_names, "name long, oid long, loc long"), "shared")
+    found = docs.mapInArrow(_emit(unit, heavy, False), "name long, salt long, rank long, oid long, loc long")
+    found = found.repartition("name", "salt").sortWithinPartitions("name", "rank", "oid")
+    sorted_out = stage(found.mapInArrow(_sort_out, "name long, rank long, oid long, loc long"), "anchors")
     mask = (1 << LOC) - 1
     of_doc = (F.shiftright("loc", LOC)).alias("tag")
-    hits = shared.groupBy("oid", of_doc).agg(F.collect_list(F.struct(F.col("loc"), F.col("name"))).alias("hits"))
+    still = sorted_out.filter(F.col("name").isNotNull())
+    hits = still.groupBy("oid", of_doc).agg(F.collect_list(F.struct("loc", "name", "rank")).alias("hits"))
     near = docs.join(hits, ["oid", "tag"]).select("oid", "text", "hits")
     near = near.mapInArrow(_neighbourhoods(unit), "name long, rank long, oid long, loc long, edge long, around binary")
     near = near.repartition("name").sortWithinPartitions("name", "rank", "oid")
     marks = stage(near.mapInArrow(_settle(unit, hot), "oid long, loc long, starts long, edge long, around binary"), "marks")
-    out = marks.filter(F.col("around").isNull()).select("oid", "loc", "starts")
+    out = sorted_out.filter(F.col("name").isNull()).select("oid", "loc", F.lit(int(ALL)).alias("starts"))
+    out = out.unionByName(marks.filter(F.col("around").isNull()).select("oid", "loc", "starts"))
     hot_rows = marks.filter(F.col("around").isNotNull())
     if not hot_rows.isEmpty():
         win = hot_rows.mapInArrow(_hot_windows(unit), "win long, oid long, loc long, starts long")
@@ -354,10 +362,13 @@ def covered(unit: Unit, marks: pa.Array, uoff: np.ndarray) -> np.ndarray:
         marks = marks.fill_null([])
     count = np.diff(marks.offsets.to_numpy().astype(np.int64))
     flat = marks.flatten()
-    pos = flat.field("pos").to_numpy(zero_copy_only=False) + np.repeat(uoff[:-1], count)
+    doc = np.repeat(np.arange(len(uoff) - 1), count)
+    pos = flat.field("pos").to_numpy(zero_copy_only=False) + uoff[doc]
     starts = flat.field("starts").to_numpy(zero_copy_only=False)
+    first, last = uoff[doc], uoff[doc + 1] - unit.window
     for j in range(unit.reach + 1):
-        at = pos[(starts >> j) & 1 == 1] - j
+        at = pos - j
+        at = at[((starts >> j) & 1 == 1) & (at >= first) & (at <= last)]
         if len(at):
             step += np.bincount(at, minlength=total + 1)
             step -= np.bincount(at + unit.window, minlength=total + 1)[: total + 1]
@@ -367,4 +378,7 @@ def covered(unit: Unit, marks: pa.Array, uoff: np.ndarray) -> np.ndarray:
 def with_marks(docs: DataFrame, unit: Unit, hot: int = HOT) -> DataFrame:
     """keyed() rows with their marks (null: none)."""
     rows = keyed(docs)
+    n, ids = rows.agg(F.count(F.lit(1)), F.count_distinct("oid")).first()
+    if n == ids:
+        rows = rows.withColumn("tag", F.lit(0).cast("long"))  # nothing to tell apart
     return rows.join(repeated_starts(rows, unit, hot), ["oid", "tag"], "left")

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import types as T
 
+from lociweave.llm import repeats
 from lociweave.llm.op1_suffix_dedup import remove_repeated_bytes
 from lociweave.llm.op5_substring_dedup import remove_repeated_words
 
@@ -48,8 +49,9 @@ def frame(spark, docs):
     return spark.createDataFrame([(i, t, "clash", "clash") for i, t in docs], SCHEMA).repartition(5)
 
 
-@pytest.mark.parametrize("seed,hot", [(1, 20000), (2, 3)])
-def test_bytes_against_brute_force(spark, seed, hot):
+@pytest.mark.parametrize("seed,hot,sample", [(1, 20000, 64), (2, 3, 64), (6, 20000, 1)])
+def test_bytes_against_brute_force(spark, monkeypatch, seed, hot, sample):
+    monkeypatch.setattr(repeats, "SAMPLE", sample)  # 1: frequent names take the salted path
     docs = corpus(seed)
     want = brute(docs, lambda t: list(t.encode()), 50, bytes)
     got = remove_repeated_bytes(frame(spark, docs), hot=hot).drop("kept").collect()
@@ -57,8 +59,9 @@ def test_bytes_against_brute_force(spark, seed, hot):
     assert sum(x[2] for x in want) > 1000
 
 
-@pytest.mark.parametrize("seed,hot", [(3, 20000), (4, 3)])
-def test_words_against_brute_force(spark, seed, hot):
+@pytest.mark.parametrize("seed,hot,sample", [(3, 20000, 64), (4, 3, 1)])
+def test_words_against_brute_force(spark, monkeypatch, seed, hot, sample):
+    monkeypatch.setattr(repeats, "SAMPLE", sample)
     docs = corpus(seed)
     want = [(i, n, g, h) for i, n, g, _, h in brute(docs, lambda t: t.split(), 13, lambda u: " ".join(u).encode())]
     got = remove_repeated_words(frame(spark, docs), hot=hot).drop("kept").collect()
