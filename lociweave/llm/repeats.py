@@ -32,8 +32,9 @@ from .sparkkit import keyed, stage
 from .textkit import Prefix, U, chunks, mix, utf8
 
 LOC = 40
-#: Neighbourhoods of one name that one task takes; beyond, they are dealt by window.
-HOT = 20_000
+#: Open neighbourhoods of one name that one task takes, about 120 bytes each and their windows of 8; beyond, they are
+#: dealt by window.
+HOT = 50_000
 SAMPLE = 64
 #: starts of an anchor all of whose windows are repeated, as far as its document has them.
 ALL = np.int64(-1)
@@ -192,17 +193,11 @@ def _bits(flags: np.ndarray) -> np.ndarray:
     return (flags.astype(np.int64) << np.arange(flags.shape[1])).sum(1)
 
 
-def _settle(unit: Unit, hot: int):
-    """Rows sorted by (name, rank, oid). Out: (oid, loc, starts), a bit for each repeated window start;
-    for names with more than `hot` open neighbourhoods rows with `around`, to be settled by window."""
-    names = ["oid", "loc", "starts", "edge", "around"]
+def _settle(unit: Unit):
+    """Rows sorted by (name, rank, oid) -> (oid, loc, starts): a bit for each repeated window start."""
 
-    def out(oids, loc, starts, edge=None, around=None):
-        n = len(oids)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(oids), pa.array(loc), pa.array(starts), pa.array(edge if edge is not None else np.zeros(n, np.int64)), around if around is not None else pa.nulls(n, pa.binary())],
-            names=names,
-        )
+    def out(oids, loc, starts):
+        return pa.RecordBatch.from_arrays([pa.array(oids), pa.array(loc), pa.array(starts)], names=["oid", "loc", "starts"])
 
     def close(nm, rank, oids, loc, edge, around):
         """Complete names, smallest oids of each neighbourhood only."""
@@ -212,17 +207,15 @@ def _settle(unit: Unit, hot: int):
         group = np.cumsum(new) - 1
         kinds = np.concatenate([[True], (rank[1:] != rank[:-1]) | new[1:]])
         several = np.bincount(group, kinds)[group] > 1
-        if not several.any():
-            return
         around, oids, loc, edge, group = around[several], oids[several], loc[several], edge[several], group[several]
-        for a in range(0, len(oids), 200_000):
-            b = min(len(oids), a + 200_000)
+        a = 0
+        while a < len(oids):
+            b = min(len(oids), a + 100_000)
             if b < len(oids):  # whole names only
                 b = int(np.searchsorted(group, group[b], "left"))
                 b = b if b > a else int(np.searchsorted(group, group[a], "right"))
             yield from windows(around[a:b], oids[a:b], loc[a:b], edge[a:b], group[a:b])
-            if b >= len(oids):
-                return
+            a = b
 
     def windows(around, oids, loc, edge, group):
         ok = _valid(unit, edge)
@@ -242,13 +235,11 @@ def _settle(unit: Unit, hot: int):
 
     def run(it):
         kept, last = None, None  # open rows of the last name; (name, rank, least oid) of the last row
-        hot_name = None
         for batch in it:
             nm, rank, oids, loc, edge = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            around = batch.column(5)
             if not len(nm):
                 continue
-            data, off = utf8(around)
+            data, off = utf8(batch.column(5))
             mat = data[off[0] : off[-1]].reshape(len(nm), -1)
             # the smallest oid of each (name, rank), also over the batch's edge
             head = np.concatenate([[True], (rank[1:] != rank[:-1]) | (nm[1:] != nm[:-1])])
@@ -259,33 +250,16 @@ def _settle(unit: Unit, hot: int):
             done = oids > least
             if done.any():
                 yield out(oids[done], loc[done], np.full(int(done.sum()), ALL))
-            rows = [x[~done] for x in (nm, rank, oids, loc, edge)] + [mat[~done]]
+            rows = [x[~done] for x in (nm, rank, oids, loc, edge, mat)]
             if kept is not None:
                 rows = [np.concatenate([a, b]) for a, b in zip(kept, rows, strict=True)]
             nm = rows[0]
             if not len(nm):
                 kept = None
                 continue
-            if hot_name is not None:
-                n = int(np.searchsorted(nm != hot_name, True))
-                if n:
-                    yield out(rows[2][:n], rows[3][:n], np.zeros(n, np.int64), rows[4][:n], _binary(rows[5][:n]))
-                    rows = [x[n:] for x in rows]
-                if len(rows[0]):
-                    hot_name = None
-                nm = rows[0]
-                if not len(nm):
-                    kept = None
-                    continue
-            cut = len(nm) - _first_run(np.concatenate([[True], (nm[1:] != nm[:-1])])[::-1], back=True)
-            yield from close(*(x[:cut] for x in rows))
-            rows = [x[cut:].copy() for x in rows]
-            if len(rows[0]) > hot:
-                hot_name, n = rows[0][0], len(rows[0])
-                yield out(rows[2], rows[3], np.zeros(n, np.int64), rows[4], _binary(rows[5]))
-                kept = None
-            else:
-                kept = rows
+            cut = int(np.searchsorted(-(nm[::-1] == nm[-1]).astype(int), 0, "left"))  # length of the last name's rows
+            yield from close(*(x[: len(nm) - cut] for x in rows))
+            kept = [x[len(nm) - cut :].copy() for x in rows]
         if kept is not None:
             yield from close(*kept)
 
@@ -297,16 +271,13 @@ def _binary(mat: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * w).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(mat))])
 
 
-def _first_run(head: np.ndarray, back: bool = False) -> int:
-    """Length of the first run of equal keys; head marks the first row of each run. With back, head is
-    reversed and the length of the last run is meant."""
-    if back:
-        return int(np.argmax(head)) + 1
+def _first_run(head: np.ndarray) -> int:
+    """Length of the first run of equal keys; head marks the first row of each run."""
     rest = head[1:]
     return int(np.argmax(rest)) + 1 if rest.any() else len(head)
 
 
-def _hot_windows(unit: Unit):
+def _window_rows(unit: Unit):
     def run(it):
         for batch in it:
             oids, loc, edge = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("oid", "loc", "edge"))
@@ -338,19 +309,22 @@ def repeated_starts(docs: DataFrame, unit: Unit, hot: int = HOT) -> DataFrame:
     mask = (1 << LOC) - 1
     of_doc = (F.shiftright("loc", LOC)).alias("tag")
     still = sorted_out.filter(F.col("name").isNotNull())
-    hits = still.groupBy("oid", of_doc).agg(F.collect_list(F.struct("loc", "name", "rank")).alias("hits"))
-    near = docs.join(hits, ["oid", "tag"]).select("oid", "text", "hits")
-    near = near.mapInArrow(_neighbourhoods(unit), "name long, rank long, oid long, loc long, edge long, around binary")
-    near = near.repartition("name").sortWithinPartitions("name", "rank", "oid")
-    marks = stage(near.mapInArrow(_settle(unit, hot), "oid long, loc long, starts long, edge long, around binary"), "marks")
+    crowded = stage(still.groupBy("name").count().filter(F.col("count") > hot).select("name"), "crowded")
+
+    def neighbourhoods(rows: DataFrame) -> DataFrame:
+        hits = rows.groupBy("oid", of_doc).agg(F.collect_list(F.struct("loc", "name", "rank")).alias("hits"))
+        near = docs.join(hits, ["oid", "tag"]).select("oid", "text", "hits")
+        return near.mapInArrow(_neighbourhoods(unit), "name long, rank long, oid long, loc long, edge long, around binary")
+
+    near = neighbourhoods(still.join(crowded, "name", "left_anti")).repartition("name").sortWithinPartitions("name", "rank", "oid")
+    marks = [stage(near.mapInArrow(_settle(unit), "oid long, loc long, starts long"), "marks")]
+    if not crowded.isEmpty():
+        win = neighbourhoods(still.join(crowded, "name", "left_semi")).mapInArrow(_window_rows(unit), "win long, oid long, loc long, starts long")
+        least = stage(win.groupBy("win").agg(F.min("oid").alias("least"), F.max("oid").alias("most")).filter("least < most").drop("most"), "windows")
+        marks.append(stage(win.join(least, "win").filter("least < oid").select("oid", "loc", "starts"), "marks"))
     out = sorted_out.filter(F.col("name").isNull()).select("oid", "loc", F.lit(int(ALL)).alias("starts"))
-    out = out.unionByName(marks.filter(F.col("around").isNull()).select("oid", "loc", "starts"))
-    hot_rows = marks.filter(F.col("around").isNotNull())
-    if not hot_rows.isEmpty():
-        win = hot_rows.mapInArrow(_hot_windows(unit), "win long, oid long, loc long, starts long")
-        least = win.groupBy("win").agg(F.min("oid").alias("least"))
-        more = win.join(least, "win").filter(F.col("least") < F.col("oid")).select("oid", "loc", "starts")
-        out = out.unionByName(more)
+    for m in marks:
+        out = out.unionByName(m)
     return out.groupBy("oid", of_doc).agg(F.collect_list(F.struct(F.col("loc").bitwiseAND(F.lit(mask)).alias("pos"), "starts")).alias("marks"))
 
 
