@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .queries import features, pairs
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (pairs, features)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {n: q for m in MODULES for n, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: q for m in MODULES for n, q in m.SQL.items()}
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: anchors of all genome pairs."""
+    return pairs.anchors(spark, sf_dir)
