@@ -5,8 +5,10 @@ bit of its length, longest first. Pieces of one length form a bucket; each piece
 own, so no sequence crosses documents and none is padded. Sequences are numbered bucket by bucket.
 
 A text's ids are those of its parts between ASCII white space: the tokenizer drops white space, its
-words never hold any, and neither NFC nor lower-casing looks across. So each distinct part is
-tokenized once and a text's ids are gathered; the parts known so far are kept up to `KNOWN`.
+words never hold any, and neither NFC nor lower-casing looks across. Likewise a run of .,;:!? after an
+ASCII letter or digit at a part's end is a word of its own. As the tokenizer lower-cases, parts may be,
+unless a special token could arise. So each distinct part is tokenized once and a text's ids are
+gathered; a worker keeps the parts known so far, up to `KNOWN`.
 
 Defined cases: null and empty texts have only the end id; rows that share a doc_id are packed each;
 order among equal (length, doc_id, start) is by crc; other columns are ignored.
@@ -14,6 +16,8 @@ order among equal (length, doc_id, start) is by crc; other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +25,37 @@ from pyspark.sql import functions as F
 
 from .ordering import numbered
 from .sparkkit import stage
-from .textkit import U, chunks, runs, utf8, word_names
+from .textkit import BYTE_VALUE, LOWER, Prefix, U, chunks, runs, utf8, words
 
 LENGTH = 4096
 END_ID = 2
-KNOWN = 400_000
+#: About 60 bytes each.
+KNOWN = 1_500_000
+#: Longest run of marks that is cut off.
+MARKS = 8
+MARK, ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+MARK[list(b".,;:!?")] = True
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
+def parts_of(data: np.ndarray, off: np.ndarray):
+    """(bytes, start, end, document) of the parts of a chunk of texts, in order; bytes may be lower-cased."""
+    start, end, doc = words(data, off)
+    part = data[int(off[0]) : int(off[-1])]
+    if b"<|" not in part.tobytes():
+        part = LOWER[part]
+    cut = end.copy()
+    at = np.arange(len(start))
+    for _ in range(MARKS):
+        at = at[MARK[part[cut[at] - 1]] & (cut[at] - 1 > start[at])]
+        cut[at] -= 1
+    has = (cut < end) & ALNUM[part[cut - 1]] if len(cut) else np.zeros(0, bool)
+    cut = np.where(has, cut, end)
+    keep = np.stack([np.ones(len(start), bool), has], 1).ravel()
+    return part, np.stack([start, cut], 1).ravel()[keep], np.stack([cut, end], 1).ravel()[keep], np.repeat(doc, 2)[keep]
+
+
+_known: dict[str, Ids] = {}
 
 
 class Ids:
@@ -56,7 +86,7 @@ class Ids:
             made = self.tokenizer.encode_batch_fast([part[a:b].decode("utf-8") for a, b in zip(start[first[new]], end[first[new]], strict=True)], add_special_tokens=False)
             ids = [x.ids for x in made]
             size = np.array([len(x) for x in ids], np.int64)
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+            flat = np.array(list(chain.from_iterable(ids)), np.uint32)
             names = np.concatenate([self.name, uniq[new]])
             order = np.argsort(names, kind="stable")
             self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(size) - size])[order]
@@ -73,14 +103,14 @@ def pieces_of(n: int, length: int = LENGTH) -> list[int]:
 
 def _cut(path: str, length: int, end_id: int):
     def run(it):
-        ids_of = Ids(path)
+        ids_of = _known[path] = _known.get(path) or Ids(path)
         for batch in it:
             data, off = utf8(batch.column("text"))
             doc_ids = batch.column("doc_id")
             for i, j in chunks(off, 1 << 22):
-                name, start, end, doc = word_names(data, off[i : j + 1])
-                part = data[int(off[i]) : int(off[j])].tobytes()
-                size, ids = ids_of(part, name, start, end) if len(name) else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
+                part, start, end, doc = parts_of(data, off[i : j + 1])
+                name = Prefix(BYTE_VALUE[part]).spans(start, end)
+                size, ids = ids_of(part.tobytes(), name, start, end) if len(name) else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
                 n = np.bincount(doc, size, j - i).astype(np.int64)
                 at = np.cumsum(n) - n
                 rows = ([], [], [], [], [])
