@@ -11,8 +11,9 @@ Where one tree holds all points of a task, the tasks are made as follows, withou
 2. sets of sizes up to h that are to be linked differ in at most d tokens, so of d+1+t groups at least
    t+1 are equal in content. Each class emits its groups' contents (a 64-bit name) at its own level of
    sizes and the next; classes that share one may be linked. A class leaves out its empty groups unless
-   it has over t of them. Contents in one class only leave; for the others an edge to the smallest class
-   is kept. So candidates form connected components: outside them no link is possible;
+   it has over t of them. Contents go on once a batch of documents and are sorted; from each class an
+   edge to the smallest of its content is kept. So candidates form connected components: outside them
+   no link is possible;
 3. a component is dealt to blocks of about `BLOCK` classes, with its `PIVOTS` first classes in each. A
    task joins a block by R-tree; pairs that are connected already need no verifying;
 4. where the blocks of a component are not connected by then, all pairs of its blocks are joined too.
@@ -153,9 +154,13 @@ def _emit_classes(shingle):
 
 
 def _emit_keys(shingle, percent, table):
+    """(key, node, dst): the first class of each content in a batch of documents; for the others at once
+    an edge node-dst to it, so that a content goes on once a batch however many have it."""
+
     def run(it):
         for batch in it:
             data, off = utf8(batch.column("text"))
+            keys, nodes = [], []
             for i, j in chunks(off):
                 token, toff = shingle_sets(data, off[i : j + 1], shingle)
                 if not len(token):
@@ -166,11 +171,49 @@ def _emit_keys(shingle, percent, table):
                 once[first] = True
                 doc, key = group_keys(token, toff, percent, table)
                 own = once[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(key[own].view(np.int64)), pa.array(node[doc[own]])], names=["key", "node"])
+                keys.append(key[own])
+                nodes.append(node[doc[own]])
+            if not keys:
+                continue
+            key, node = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            head = np.concatenate([[True], key[1:] != key[:-1]])
+            least = node[np.flatnonzero(head)][np.cumsum(head) - 1]
+            edge = np.unique(np.stack([node[node != least], least[node != least]], 1), axis=0)
+            n, m = int(head.sum()), len(edge)
+            for a in range(0, n, 100_000):
+                part = slice(a, a + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(key[head][part]), pa.array(node[head][part]), pa.nulls(len(key[head][part]), pa.int64())], names=["key", "node", "dst"])
+            if m:
+                yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 0]), pa.array(edge[:, 1])], names=["key", "node", "dst"])
 
     return run
 
 
+def _stars(it):
+    """Rows sorted by (key, node): edges from every other class of a content to its smallest, and those
+    that were edges before."""
+    last = None  # (key, smallest node)
+    for batch in it:
+        dst = batch.column("dst")
+        ready = np.asarray(dst.is_valid())
+        key, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node"))
+        out = [(node[ready], dst.drop_null().to_numpy(zero_copy_only=False))]
+        key, node = key[~ready], node[~ready]
+        if len(key):
+            head = np.concatenate([[True], key[1:] != key[:-1]])
+            least = node[np.flatnonzero(head)][np.cumsum(head) - 1]
+            if last is not None and key[0] == last[0]:
+                rest = head[1:]
+                least[: int(np.argmax(rest)) + 1 if rest.any() else len(head)] = last[1]
+            last = (key[-1], least[-1])
+            out.append((node[node != least], least[node != least]))
+        src, to = (np.concatenate([x[c] for x in out]) for c in (0, 1))
+        if len(src):
+            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(to)], names=["src", "dst"])
+
+
 def _emit_sets(shingle):
     def run(it):
         for batch in it:
@@ -185,6 +228,41 @@ def _emit_sets(shingle):
     return run
 
 
+#: Bits of the filter that spares other documents a shuffle: 8 MB, whatever the corpus.
+BITS = 1 << 26
+
+
+def _bit_places(oids: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    h = mix(oids.view(U) * U(0x9E3779B97F4A7C15) + tags.astype(U))
+    return np.stack([h & U(BITS - 1), (h >> U(32)) & U(BITS - 1)])
+
+
+def _bit_words(it):
+    for batch in it:
+        at = np.unique(_bit_places(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("oid", "tag"))))
+        yield pa.RecordBatch.from_arrays([pa.array((at >> U(6)).astype(np.int64)), pa.array((U(1) << (at & U(63))).view(np.int64))], names=["word", "bits"])
+
+
+def _maybe_in(sent):
+    def run(it):
+        for batch in it:
+            at = _bit_places(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("oid", "tag")))
+            hit = ((sent.value[at >> U(6)] >> (at & U(63))) & U(1)).all(0)
+            yield batch.filter(pa.array(hit.astype(bool)))
+
+    return run
+
+
+def only(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows that a Bloom filter of keys (oid, tag) lets pass: all that are in keys and few others, so that
+    the join that follows shuffles few texts. The filter reaches the driver as BITS / 64 words at most."""
+    words = keys.select("oid", "tag").mapInArrow(_bit_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    filled = np.zeros(BITS // 64, U)
+    filled[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(U)
+    sent = rows.sparkSession.sparkContext.broadcast(filled)
+    return rows.mapInArrow(_maybe_in(sent), rows.schema)
+
+
 class RTree:
     """Points of token-group counts, packed bottom-up in the order of size and of the largest groups."""
 
@@ -292,15 +370,13 @@ def classes_and_links(docs: DataFrame, shingle: int, percent: int, block: int =
     classes = stage(rows.mapInArrow(_emit_classes(shingle), "doc_id long, oid long, tag long, n long, node long, check long"), "classes")
     top = classes.agg(F.max("n")).first()[0] or 0
     table = levels(percent, int(top))
-    keys = rows.mapInArrow(_emit_keys(shingle, percent, table), "key long, node long")
-    shared = keys.groupBy("key").agg(F.min("node").alias("dst"), F.max("node").alias("most")).filter("dst < most").select("key", "dst")
-    shared = stage(shared, "contents")
-    maybe = keys.join(shared, "key").filter("node <> dst").select(F.col("node").alias("src"), "dst").distinct()
+    keys = rows.mapInArrow(_emit_keys(shingle, percent, table), "key long, node long, dst long")
+    maybe = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "src long, dst long").distinct()
     parts = stage(connected_components(stage(maybe, "maybe")).select("node", F.col("component").alias("part")), "parts")
     # one document of each class in a part, with its set
     first = classes.join(parts, "node").groupBy("part", "node").agg(F.min(F.struct("oid", "tag")).alias("k")).select("part", "node", "k.oid", "k.tag")
     first = stage(first, "first")
-    sets = rows.join(first, ["oid", "tag"]).select("part", "oid", "node", "text").dropDuplicates(["node"])
+    sets = only(rows, first).join(first, ["oid", "tag"]).select("part", "oid", "node", "text").dropDuplicates(["node"])
     sets = stage(sets.mapInArrow(_emit_sets(shingle), "part long, oid long, node long, tokens binary"), "sets")
     blocks = sets.groupBy("part").count().select("part", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     rank = F.row_number().over(Window.partitionBy("part").orderBy("oid", "node"))
