@@ -14,9 +14,14 @@ Where one tree holds all points of a task, the tasks are made as follows, withou
    it has over t of them. Contents go on once a batch of documents and are sorted; from each class an
    edge to the smallest of its content is kept. So candidates form connected components: outside them
    no link is possible;
-3. a component is dealt to blocks of about `BLOCK` classes, with its `PIVOTS` first classes in each. A
+3. where shared passages chain texts into a component of over `BLOCK` classes, its contents are counted.
+   With more spare groups (t = d / `SPARE_LARGE`), each class leaves out its t most frequent contents:
+   in one order of all contents, rarest first, the smallest content that two linked sets share is among
+   the first d+1 of either, so no link is lost. What is left makes smaller components;
+4. a component is dealt to blocks of about `BLOCK` classes, with its `PIVOTS` first classes in each. A
    task joins a block by R-tree; pairs that are connected already need no verifying;
-4. where the blocks of a component are not connected by then, all pairs of its blocks are joined too.
+5. where the blocks of a component are not connected by then, pairs of its blocks are joined too, as far
+   as their ranges of sizes allow a link.
 
 Verified links and equal classes give components again, and each document its smallest doc_id.
 
@@ -105,20 +110,23 @@ def levels(percent: int, top: int) -> list[tuple[int, int]]:
 #: Spare groups, beyond those that the pigeonholes need: 1 and one for each so many; few sets then have
 #: to send empty ones.
 SPARE = 16
+SPARE_LARGE = 4
 
 
-def group_keys(token, off, percent: int, table: list[tuple[int, int]]):
-    """(document, key) of every group content that a document must send."""
+def group_keys(token, off, table: list[tuple[int, int]], spare: int = SPARE):
+    """(document, key, left, step) of every group content that a document must send at its own level of sizes
+    (step 0) and the next (1); of a document's contents at one step, any `left` may still go, if all
+    documents choose them by one order of contents."""
     size = np.diff(off)
     low = np.array([x[0] for x in table])
     level = np.searchsorted(low, size, side="right") - 1
-    docs_out, keys_out = [], []
+    docs_out, keys_out, left_out, step_out = [], [], [], []
     for step in (0, 1):
         lv = level + step
         ok = (size > 0) & (lv < len(table))
         parts = np.zeros(len(size), np.int64)
         differ = np.array([x[1] for x in table])[np.where(ok, lv, 0)]
-        extra = 1 + differ // SPARE
+        extra = 1 + differ // spare
         parts[ok] = (differ + 1 + extra)[ok]
         start = np.cumsum(parts) - parts
         keep = np.repeat(ok, size)
@@ -135,7 +143,9 @@ def group_keys(token, off, percent: int, table: list[tuple[int, int]]):
         name = mix(content + mix((lv[doc].astype(U) << U(32)) + runs(parts).astype(U)))
         docs_out.append(doc[send])
         keys_out.append(name[send])
-    return np.concatenate(docs_out), np.concatenate(keys_out)
+        left_out.append(np.where(empty > extra, 0, extra - empty)[doc[send]])
+        step_out.append(np.full(len(docs_out[-1]), step))
+    return tuple(np.concatenate(x) for x in (docs_out, keys_out, left_out, step_out))
 
 
 def _emit_classes(shingle):
@@ -153,7 +163,7 @@ def _emit_classes(shingle):
     return run
 
 
-def _emit_keys(shingle, percent, table):
+def _emit_keys(shingle, table):
     """(key, node, dst): the first class of each content in a batch of documents; for the others at once
     an edge node-dst to it, so that a content goes on once a batch however many have it."""
 
@@ -169,7 +179,7 @@ def _emit_keys(shingle, percent, table):
                 _, first = np.unique(node, return_index=True)  # copies in a chunk send once
                 once = np.zeros(len(node), bool)
                 once[first] = True
-                doc, key = group_keys(token, toff, percent, table)
+                doc, key, _, _ = group_keys(token, toff, table)
                 own = once[doc]
                 keys.append(key[own])
                 nodes.append(node[doc[own]])
@@ -228,6 +238,35 @@ def _emit_sets(shingle):
     return run
 
 
+def _emit_contents(table, spare):
+    """(key, node, step, left) of sets; step tells a class's two levels apart."""
+
+    def run(it):
+        for batch in it:
+            node = batch.column("node").to_numpy()
+            data, off = utf8(batch.column("tokens"))
+            for i, j in chunks(off):
+                token = np.frombuffer(data[off[i] : off[j]].tobytes(), U)
+                doc, key, left, step = group_keys(token, (off[i : j + 1] - off[i]) // 8, table, spare)
+                for a in range(0, len(doc), 100_000):
+                    part = slice(a, a + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(node[i:j][doc[part]]), pa.array(step[part], pa.int32()), pa.array(left[part], pa.int32())], names=["key", "node", "step", "left"])
+
+    return run
+
+
+def refined(sets: DataFrame, table: list[tuple[int, int]], spare: int = SPARE_LARGE) -> DataFrame:
+    """(node, part) of the sets that may be linked with another, by contents that are not frequent."""
+    keys = sets.select("node", "tokens").mapInArrow(_emit_contents(table, spare), "key long, node long, step int, left int")
+    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    # contents that one class has alone are the rarest; the rest of a class's are at most its shingles
+    rank = F.row_number().over(Window.partitionBy("node", "step").orderBy(F.desc("often"), "key"))
+    kept = stage(keys.join(often, "key").withColumn("r", rank).filter("r > left").select("key", "node"), "kept")
+    least = kept.groupBy("key").agg(F.min("node").alias("dst"))
+    edges = kept.join(least, "key").filter("node <> dst").select(F.col("node").alias("src"), "dst").distinct()
+    return connected_components(edges).select("node", F.col("component").alias("part"))
+
+
 #: Bits of the filter that spares other documents a shuffle: 8 MB, whatever the corpus.
 BITS = 1 << 26
 
@@ -370,7 +409,7 @@ def classes_and_links(docs: DataFrame, shingle: int, percent: int, block: int =
     classes = stage(rows.mapInArrow(_emit_classes(shingle), "doc_id long, oid long, tag long, n long, node long, check long"), "classes")
     top = classes.agg(F.max("n")).first()[0] or 0
     table = levels(percent, int(top))
-    keys = rows.mapInArrow(_emit_keys(shingle, percent, table), "key long, node long, dst long")
+    keys = rows.mapInArrow(_emit_keys(shingle, table), "key long, node long, dst long")
     maybe = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "src long, dst long").distinct()
     parts = stage(connected_components(stage(maybe, "maybe")).select("node", F.col("component").alias("part")), "parts")
     # one document of each class in a part, with its set
@@ -378,29 +417,44 @@ def classes_and_links(docs: DataFrame, shingle: int, percent: int, block: int =
     first = stage(first, "first")
     sets = only(rows, first).join(first, ["oid", "tag"]).select("part", "oid", "node", "text").dropDuplicates(["node"])
     sets = stage(sets.mapInArrow(_emit_sets(shingle), "part long, oid long, node long, tokens binary"), "sets")
-    blocks = sets.groupBy("part").count().select("part", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    place = sets.select("part", "oid", "node")
+    large = stage(place.groupBy("part").count().filter(F.col("count") > block).select("part"), "large")
+    if not large.isEmpty():
+        found = stage(refined(sets.join(large, "part"), table), "found")
+        again = place.join(large, "part").drop("part").join(found, "node").select("part", "oid", "node")
+        place = stage(place.join(large, "part", "left_anti").unionByName(again), "place")
+    blocks = place.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     rank = F.row_number().over(Window.partitionBy("part").orderBy("oid", "node"))
-    pivot = sets.select("part", "oid", "node").withColumn("r", rank).filter(F.col("r") <= pivots).select("node", F.lit(True).alias("pivot"))
-    dealt = sets.join(blocks, "part").join(pivot, "node", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    pivot = place.withColumn("r", rank).filter(F.col("r") <= pivots).select("node", F.lit(True).alias("pivot"))
+    dealt = place.join(blocks, "part").join(pivot, "node", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    dealt = stage(dealt, "dealt")
+    tokens = sets.select("node", "tokens")
     everywhere = F.when(F.coalesce("pivot", F.lit(False)), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
-    ready = dealt.select("part", F.explode(everywhere).alias("i"), F.lit(-1).alias("j"), "node", "tokens", F.col("node").alias("known"))
+    ready = dealt.select("part", F.explode(everywhere).alias("i"), F.lit(-1).alias("j"), "node", F.col("node").alias("known")).join(tokens, "node")
     ready = ready.repartition("part", "i").sortWithinPartitions("part", "i", "j", "node")
     links = stage(ready.mapInArrow(_join(percent), "src long, dst long"), "links")
-    large = blocks.filter("blocks > 1")
-    if large.isEmpty():
+    if dealt.filter("blocks > 1").isEmpty():
         return classes, links
-    found = connected_components(links)
-    state = dealt.filter("blocks > 1").join(found, "node", "left").select("part", "blocks", "own", "node", "tokens", F.coalesce("component", "node").alias("known"))
-    state = stage(state, "state")
-    open_parts = state.groupBy("part").agg(F.min("known").alias("a"), F.max("known").alias("b")).filter("a < b").select("part")
-    if open_parts.isEmpty():
+    state = dealt.filter("blocks > 1").join(connected_components(links), "node", "left").select("part", "node", F.coalesce("component", "node").alias("known"))
+    state = stage(state.join(tokens.select("node", (F.length("tokens") / 8).cast("long").alias("n")), "node"), "state")
+    still = state.groupBy("part").agg(F.min("known").alias("a"), F.max("known").alias("b")).filter("a < b").select("part")
+    if still.isEmpty():
         return classes, links
+    # dealt anew by sizes: linked sets are of one level or of neighbouring ones
+    level = F.lit(0)
+    for k, (low, _) in enumerate(table):
+        level = F.when(F.col("n") >= low, F.lit(k)).otherwise(level)
+    state = state.join(stage(still, "still"), "part").withColumn("level", level)
+    many = state.groupBy("part", "level").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    state = state.join(many, ["part", "level"]).withColumn("own", F.col("level") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("blocks")
+    state = stage(state, "state")
     # blocks of one and the same component need not meet each other
-    kinds = state.join(open_parts, "part").groupBy("part", "own").agg(F.min("known").alias("a"), F.max("known").alias("b"))
-    pairs = kinds.alias("x").join(kinds.alias("y"), (F.col("x.part") == F.col("y.part")) & (F.col("x.own") < F.col("y.own"))).filter("not (x.a = x.b and y.a = y.b and x.a = y.a)")
-    pairs = pairs.select(F.col("x.part").alias("part"), F.col("x.own").alias("i"), F.col("y.own").alias("j"))
-    sides = pairs.select("part", "i", "j", F.explode(F.array("i", "j")).alias("own"))
-    more = state.join(sides, ["part", "own"]).select("part", "i", "j", "node", "tokens", "known")
+    kinds = stage(state.groupBy("part", "level", "own").agg(F.min("known").alias("a"), F.max("known").alias("b")), "kinds")
+    near = kinds.select("part", F.explode(F.array("level", F.col("level") + 1)).alias("level"), "own", "a", "b")
+    pairs = near.alias("x").join(kinds.alias("y"), (F.col("x.part") == F.col("y.part")) & (F.col("x.level") == F.col("y.level")) & (F.col("x.own") <= F.col("y.own")))
+    pairs = pairs.filter("not (x.a = x.b and y.a = y.b and x.a = y.a)").select(F.col("x.part").alias("part"), F.col("x.own").alias("i"), F.col("y.own").alias("j"))
+    sides = stage(pairs.distinct(), "pairs").select("part", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
+    more = state.join(sides, ["part", "own"]).select("part", "i", "j", "node", "known").join(tokens, "node")
     more = more.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "node")
     return classes, stage(links.unionByName(more.mapInArrow(_join(percent), "src long, dst long")), "links")
 
