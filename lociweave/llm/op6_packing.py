@@ -31,6 +31,9 @@ LENGTH = 4096
 END_ID = 2
 #: About 60 bytes each.
 KNOWN = 1_500_000
+#: Parts encoded at a time, and bytes of text cut at a time: they bound a worker's memory.
+ENCODED = 8192
+STEP = 1 << 20
 #: Longest run of marks that is cut off.
 MARKS = 8
 MARK, ALNUM = np.zeros(256, bool), np.zeros(256, bool)
@@ -83,8 +86,10 @@ class Ids:
         if len(self.name):
             new = self.name[np.minimum(at, len(self.name) - 1)] != uniq
         if new.any():
-            made = self.tokenizer.encode_batch_fast([part[a:b].decode("utf-8") for a, b in zip(start[first[new]], end[first[new]], strict=True)], add_special_tokens=False)
-            ids = [x.ids for x in made]
+            begin, stop, ids = start[first[new]], end[first[new]], []
+            for k in range(0, len(begin), ENCODED):
+                own = [part[a:b].decode("utf-8") for a, b in zip(begin[k : k + ENCODED], stop[k : k + ENCODED], strict=True)]
+                ids += [x.ids for x in self.tokenizer.encode_batch_fast(own, add_special_tokens=False)]
             size = np.array([len(x) for x in ids], np.int64)
             flat = np.array(list(chain.from_iterable(ids)), np.uint32)
             names = np.concatenate([self.name, uniq[new]])
@@ -107,7 +112,7 @@ def _cut(path: str, length: int, end_id: int):
         for batch in it:
             data, off = utf8(batch.column("text"))
             doc_ids = batch.column("doc_id")
-            for i, j in chunks(off, 1 << 22):
+            for i, j in chunks(off, STEP):
                 part, start, end, doc = parts_of(data, off[i : j + 1])
                 name = Prefix(BYTE_VALUE[part]).spans(start, end)
                 size, ids = ids_of(part.tobytes(), name, start, end) if len(name) else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
