@@ -90,7 +90,7 @@ def _count(it):
     for batch in it:
         data, off = utf8(batch.column("text"))
         toxic = batch.column("toxic").fill_null(-1).to_numpy(zero_copy_only=False)
-        for i, j in chunks(off, 1 << 21):
+        for i, j in chunks(off):
             uniq, start, end, doc, inverse, _ = _uniques(data, off[i : j + 1])
             if not len(uniq):
                 continue
@@ -101,9 +101,9 @@ def _count(it):
                 u, inv = np.unique(code, return_inverse=True)
                 parts.append((u, *(np.bincount(inv, w[word], len(u)) for w in weights)))
                 held += len(u)
-            if held > 3_000_000:
+            if held > 1_000_000:
                 parts, held = flush()
-                if held > 2_000_000:
+                if held > 700_000:
                     yield from _rows(parts.pop())
                     held = 0
     if parts:
@@ -207,7 +207,7 @@ def _features(model, fitted=None):
         scorer = Scorer(model.value)
         for batch in it:
             data, off = utf8(batch.column("text"))
-            for i, j in chunks(off, 1 << 21):
+            for i, j in chunks(off):
                 x = scorer.features(data, off[i : j + 1])
                 if fitted is None:
                     yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(i, j - i), pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "x"])
@@ -292,7 +292,7 @@ def _keep(model, fitted, threshold):
         for batch in it:
             data, off = utf8(batch.column("text"))
             keep = np.ones(batch.num_rows, bool)
-            for i, j in chunks(off, 1 << 21):
+            for i, j in chunks(off):
                 keep[i:j] = fitted(scorer.features(data, off[i : j + 1])) < threshold
             yield batch.filter(pa.array(keep))
 

@@ -11,7 +11,7 @@ Where one tree holds all points of a task, the tasks are made as follows, withou
 2. sets of sizes up to h that are to be linked differ in at most d tokens, so of d+1+t groups at least
    t+1 are equal in content. Each class emits its groups' contents (a 64-bit name) at its own level of
    sizes and the next; classes that share one may be linked. A class leaves out its empty groups unless
-   it has over t of them. Contents go on once a batch of documents and are sorted; from each class an
+   it has over t of them. Contents go on once a run of documents and are sorted; from each class an
    edge to the smallest of its content is kept. So candidates form connected components: outside them
    no link is possible;
 3. where shared passages chain texts into a component of over `BLOCK` classes, its contents are counted.
@@ -111,6 +111,8 @@ def levels(percent: int, top: int) -> list[tuple[int, int]]:
 #: to send empty ones.
 SPARE = 16
 SPARE_LARGE = 4
+#: Contents that a worker holds before they go on: 16 bytes each, and as much again while they are sorted.
+HELD = 500_000
 
 
 def group_keys(token, off, table: list[tuple[int, int]], spare: int = SPARE):
@@ -164,13 +166,27 @@ def _emit_classes(shingle):
 
 
 def _emit_keys(shingle, table):
-    """(key, node, dst): the first class of each content in a batch of documents; for the others at once
-    an edge node-dst to it, so that a content goes on once a batch however many have it."""
+    """(key, node, dst): the first class of each content in a run of documents; for the others at once
+    an edge node-dst to it, so that a content goes on once a run however many have it."""
+
+    def combined(keys, nodes):
+        key, node = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        head = np.concatenate([[True], key[1:] != key[:-1]])
+        least = node[np.flatnonzero(head)][np.cumsum(head) - 1]
+        edge = np.unique(np.stack([node[node != least], least[node != least]], 1), axis=0)
+        key, node = key[head], node[head]
+        for a in range(0, len(key), 100_000):
+            part = slice(a, a + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(node[part]), pa.nulls(len(key[part]), pa.int64())], names=["key", "node", "dst"])
+        if len(edge):
+            yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 0]), pa.array(edge[:, 1])], names=["key", "node", "dst"])
 
     def run(it):
+        keys, nodes, held = [], [], 0
         for batch in it:
             data, off = utf8(batch.column("text"))
-            keys, nodes = [], []
             for i, j in chunks(off):
                 token, toff = shingle_sets(data, off[i : j + 1], shingle)
                 if not len(token):
@@ -183,20 +199,12 @@ def _emit_keys(shingle, table):
                 own = once[doc]
                 keys.append(key[own])
                 nodes.append(node[doc[own]])
-            if not keys:
-                continue
-            key, node = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
-            order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            head = np.concatenate([[True], key[1:] != key[:-1]])
-            least = node[np.flatnonzero(head)][np.cumsum(head) - 1]
-            edge = np.unique(np.stack([node[node != least], least[node != least]], 1), axis=0)
-            n, m = int(head.sum()), len(edge)
-            for a in range(0, n, 100_000):
-                part = slice(a, a + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(key[head][part]), pa.array(node[head][part]), pa.nulls(len(key[head][part]), pa.int64())], names=["key", "node", "dst"])
-            if m:
-                yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 0]), pa.array(edge[:, 1])], names=["key", "node", "dst"])
+                held += len(keys[-1])
+                if held > HELD:
+                    yield from combined(keys, nodes)
+                    keys, nodes, held = [], [], 0
+        if keys:
+            yield from combined(keys, nodes)
 
     return run
 
