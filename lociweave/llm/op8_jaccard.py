@@ -468,26 +468,27 @@ def classes_and_links(docs: DataFrame, shingle: int, percent: int, block: int =
 
 
 def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
-    """doc_id, oid, tag, n_shingles, component_id."""
+    """doc_id, oid, tag, n_shingles, component_id, component (the component's node: unlike its smallest doc_id no
+    other component has it; of documents without words null)."""
     classes, links = classes_and_links(docs, shingle, percent, block, pivots)
     least = classes.filter("n > 0").groupBy("node").agg(F.min("oid").alias("least"))
     comp = connected_components(links)
     # nodes outside links are components of their own
     least = least.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least")
     smallest = least.groupBy("component").agg(F.min("least").alias("smallest"))
-    label = stage(least.join(smallest, "component").select("node", "smallest"), "label")
+    label = stage(least.join(smallest, "component").select("node", "component", "smallest"), "label")
     out = classes.join(label, "node", "left")
-    component = F.when(F.col("n") == 0, F.col("oid")).otherwise(F.col("smallest"))
-    return out.select("doc_id", "oid", "tag", F.col("n").alias("n_shingles"), F.nullif(component, F.lit(NULL_ID)).alias("component_id"))
+    named = F.when(F.col("n") == 0, F.col("oid")).otherwise(F.col("smallest"))
+    return out.select("doc_id", "oid", "tag", F.col("n").alias("n_shingles"), F.nullif(named, F.lit(NULL_ID)).alias("component_id"), "component")
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs, same columns: of each group the document of the smallest doc_id. Documents without words
-    stay. Rows that share this id and whose texts are equal become one."""
+    """docs, same columns: of each group the document of the smallest doc_id, and of several rows of this id in the
+    group one. Documents without words stay."""
     groups = near_duplicate_groups(docs, shingle, percent)
     groups = groups.withColumn("component_id", F.coalesce("component_id", F.lit(NULL_ID))).filter("n_shingles = 0 or oid = component_id")
-    # of several texts with the smallest id, one: bounded, as only rows of that id are left
-    one = groups.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("oid", "tag")).alias("k")).select("k.oid", "k.tag")
+    # groups may share their smallest id (null is one id), so each is known by its node
+    one = groups.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct("oid", "tag")).alias("k")).select("k.oid", "k.tag")
     keep = one.select(F.col("oid").alias("__oid"), F.col("tag").alias("__tag"), F.lit(True).alias("__one")).distinct()
     empty = groups.filter("n_shingles = 0").select(F.col("oid").alias("__oid"), F.col("tag").alias("__tag"), F.lit(False).alias("__one")).distinct()
     rows = docs.select("*", oid().alias("__oid"), tag().alias("__tag"))

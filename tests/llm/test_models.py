@@ -195,6 +195,14 @@ def test_near_duplicates_go(spark):
     assert j8.near_duplicate_groups(frame(spark, [])).collect() == []
 
 
+def test_groups_of_one_smallest_id_keep_one_each(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    docs = [(None, a, None), (None, a + " more", None), (None, b, None), (7, c, None), (7, c, None), (7, d, None), (9, d + " more", None), (None, None, None)]
+    first = lambda rows: sorted((str(i), (t or "-")[0]) for i, t in rows)
+    out = j8.without_near_duplicates(frame(spark, docs))
+    assert first((r.doc_id, r.text) for r in out.collect()) == first([(None, a), (None, b), (7, c), (7, d), (None, None)])
+
+
 def test_r_tree_bound_loses_no_link():
     r = np.random.default_rng(4)
     universe = r.integers(0, 1 << 63, 300, dtype=np.uint64)
