@@ -1,7 +1,8 @@
 """Secret scans: assignment-aware lexing.
 
 Three base patterns are always kept. Beyond them the text is read as source or configuration: each
-`name op literal` becomes a pair, where op is one of = : := => and a literal is quoted or bare. Names
+`name op literal` becomes a pair, where op is one of = : := => and a literal is quoted or bare, each of any
+length (quoted text of over 512 characters with blanks in it is prose, no literal: it scores 0). Names
 bound once to a literal are constants; where a name is assigned another name, the constant's literal
 is propagated to it. A literal is then scored by its target names (how sensitive their words are) and
 its form, and reported as kind `literal` at 1.0 or more.
@@ -32,8 +33,9 @@ SENSITIVE = {
     "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.5, "bearer": 0.7, "private": 0.5,
     "access": 0.4, "key": 0.5, "signing": 0.4, "encryption": 0.4, "session": 0.3, "salt": 0.4, "pin": 0.4,
 }
+#: A name is tried at the start of its run only and no part is given back, so nothing needs a bound to be linear.
 PAIR = re.compile(
-    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,80})["'`]?[\x20\t]{0,8}(?::=|=>|=|:)[\x20\t]{0,8}(?:"(?P<dq>[^"\n]{1,512})"|'(?P<sq>[^'\n]{1,512})'|`(?P<bq>[^`\n]{1,512})`|(?P<bare>[A-Za-z0-9+/_.=$\-]{1,512}))""",
+    r"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)["'`]?[\x20\t]*+(?::=|=>|=|:)[\x20\t]*+(?:"(?P<dq>[^"\n]{1,512}(?=")|[^"\s]++)"|'(?P<sq>[^'\n]{1,512}(?=')|[^'\s]++)'|`(?P<bq>[^`\n]{1,512}(?=`)|[^`\s]++)`|(?P<bare>[A-Za-z0-9+/_.=$\-]++))""",
     re.ASCII,
 )
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z", re.ASCII)

@@ -53,6 +53,24 @@ def test_secrets(spark):
     assert s3.scan_secrets(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("size", [512, 513, 5000])
+@pytest.mark.parametrize("quote", ['"', "'", "`", ""])
+def test_long_literals_are_redacted_whole(size, quote):
+    value = ("Zx9Kq2mN7pLw+/" * (size // 14 + 1))[:size]
+    for name, op in (("private_key", " = "), ("auth_credential", " " * 30 + ":\t" + " " * 30), ("n" * 90 + "_signing_key_" + "n" * 90, "=")):
+        text = f"x = 1\n{name}{op}{quote}{value}{quote}\nend"
+        at = text.index(value)
+        assert s3.literal_spans(text) == [(at, 3, at + size, at)]
+        assert s3.redact(text, s3.scan(text)[1]) == f"x = 1\n{name}{op}{quote}[secret]{quote}\nend"
+
+
+def test_long_prose_hides_no_literal():
+    text = "note: 'tis " + "long prose " * 90 + 'private_key = "Zx9$kQ2!mN7pLw" and don\'t'
+    assert "Zx9" not in s3.redact(text, s3.scan(text)[1])
+    for text in ("a" * 300_000, "a: " * 100_000, "k" + " " * 300_000, 'k="' * 100_000, "k='" + "x" * 300_000):
+        s3.scan(text)
+
+
 def brute4(docs, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     split = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
