@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from .sparkkit import keyed, stage
 from .textkit import Prefix, U, chunks, mix, utf8
 
-LOC = 40
 #: Open neighbourhoods of one name that one task takes, about 120 bytes each and their windows of 8; beyond, they are
 #: dealt by window.
 HOT = 50_000
@@ -94,17 +93,17 @@ def _emit(unit: Unit, heavy: np.ndarray, sampled: bool):
                 hot = heavy[at] == name
                 salt[hot] = 1 + (mix(ids[doc[hot]].view(U)) >> U(44)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(name.view(np.int64)), pa.array(salt), pa.array(rank.view(np.int64)), pa.array(ids[doc]), pa.array(local | (tags[doc] << LOC))],
-                names=["name", "salt", "rank", "oid", "loc"],
+                [pa.array(name.view(np.int64)), pa.array(salt), pa.array(rank.view(np.int64)), pa.array(ids[doc]), pa.array(tags[doc]), pa.array(local)],
+                names=["name", "salt", "rank", "oid", "tag", "loc"],
             )
 
     return run
 
 
 def _sort_out(it: Iterator[pa.RecordBatch]):
-    """Rows sorted by (name, rank, oid) -> (name, rank, oid, loc): name null if all windows are repeated,
+    """Rows sorted by (name, rank, oid) -> (name, rank, oid, tag, loc): name null if all windows are repeated,
     else open. Of salted rows all smallest ones stay open."""
-    names = ["name", "rank", "oid", "loc"]
+    names = ["name", "rank", "oid", "tag", "loc"]
     last = None  # (name, rank, least oid) of the last row
     held: list[np.ndarray] | None = None  # open rows of the last name's first rank, while it has no other
     several = False  # the last name has more ranks
@@ -117,7 +116,7 @@ def _sort_out(it: Iterator[pa.RecordBatch]):
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     for batch in it:
-        name, salt, rank, ids, loc = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        name, salt, rank, ids, tags, loc = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         if not len(name):
             continue
         new_name = np.concatenate([[True], name[1:] != name[:-1]])
@@ -129,7 +128,7 @@ def _sort_out(it: Iterator[pa.RecordBatch]):
             least[: _first_run(head)] = last[2]
         done = ids > least
         if done.any():
-            yield out([x[done] for x in (name, rank, ids, loc)], True)
+            yield out([x[done] for x in (name, rank, ids, tags, loc)], True)
         # does each row's name have several ranks, as far as seen?
         group = np.cumsum(new_name) - 1
         kinds = np.bincount(group, head)
@@ -142,9 +141,9 @@ def _sort_out(it: Iterator[pa.RecordBatch]):
         salted = salt > 0
         stay = ~done & (more[group] | salted)
         if stay.any():
-            yield out([x[stay] for x in (name, rank, ids, loc)], False)
+            yield out([x[stay] for x in (name, rank, ids, tags, loc)], False)
         tail = ~done & (group == group[-1]) & ~more[-1] & ~salted
-        own = [x[tail].copy() for x in (name, rank, ids, loc)]
+        own = [x[tail].copy() for x in (name, rank, ids, tags, loc)]
         if not (same_name and group[-1] == 0):
             held, several = None, False
         if len(own[0]):
@@ -164,20 +163,20 @@ def _neighbourhoods(unit: Unit):
             flat = hits.flatten()
             loc, name, rank = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("loc", "name", "rank"))
             doc = np.repeat(np.arange(j - i), count)
-            ids = batch.column("oid").to_numpy(zero_copy_only=False)[i:j][doc]
+            ids, tags = (batch.column(c).to_numpy(zero_copy_only=False)[i:j][doc] for c in ("oid", "tag"))
             values, uoff = unit.split(data, off)
             for a in range(0, len(loc), 20_000):
                 s = slice(a, a + 20_000)
                 d, o = doc[s], loc[s]
-                p = (o & ((1 << LOC) - 1)) + uoff[d]
+                p = o + uoff[d]
                 first, last = _edges(p, d, uoff, unit)
                 at = p[:, None] + np.arange(-left, unit.window)
                 inside = (at >= first[:, None]) & (at < last[:, None])
                 got = np.where(inside, values[np.clip(at, 0, len(values) - 1)], 0)
                 edge = (p - first) | ((last - p) << 16)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name[s]), pa.array(rank[s]), pa.array(ids[s]), pa.array(o), pa.array(edge.astype(np.int64)), _binary(np.ascontiguousarray(unit.pack(got)).view(np.uint8).reshape(len(p), -1))],
-                    names=["name", "rank", "oid", "loc", "edge", "around"],
+                    [pa.array(name[s]), pa.array(rank[s]), pa.array(ids[s]), pa.array(tags[s]), pa.array(o), pa.array(edge.astype(np.int64)), _binary(np.ascontiguousarray(unit.pack(got)).view(np.uint8).reshape(len(p), -1))],
+                    names=["name", "rank", "oid", "tag", "loc", "edge", "around"],
                 )
 
     return run
@@ -194,12 +193,12 @@ def _bits(flags: np.ndarray) -> np.ndarray:
 
 
 def _settle(unit: Unit):
-    """Rows sorted by (name, rank, oid) -> (oid, loc, starts): a bit for each repeated window start."""
+    """Rows sorted by (name, rank, oid) -> (oid, tag, loc, starts): a bit for each repeated window start."""
 
-    def out(oids, loc, starts):
-        return pa.RecordBatch.from_arrays([pa.array(oids), pa.array(loc), pa.array(starts)], names=["oid", "loc", "starts"])
+    def out(oids, tags, loc, starts):
+        return pa.RecordBatch.from_arrays([pa.array(oids), pa.array(tags), pa.array(loc), pa.array(starts)], names=["oid", "tag", "loc", "starts"])
 
-    def close(nm, rank, oids, loc, edge, around):
+    def close(nm, rank, oids, tags, loc, edge, around):
         """Complete names, smallest oids of each neighbourhood only."""
         if len(nm) < 2:
             return
@@ -207,17 +206,17 @@ def _settle(unit: Unit):
         group = np.cumsum(new) - 1
         kinds = np.concatenate([[True], (rank[1:] != rank[:-1]) | new[1:]])
         several = np.bincount(group, kinds)[group] > 1
-        around, oids, loc, edge, group = around[several], oids[several], loc[several], edge[several], group[several]
+        around, oids, tags, loc, edge, group = around[several], oids[several], tags[several], loc[several], edge[several], group[several]
         a = 0
         while a < len(oids):
             b = min(len(oids), a + 100_000)
             if b < len(oids):  # whole names only
                 b = int(np.searchsorted(group, group[b], "left"))
                 b = b if b > a else int(np.searchsorted(group, group[a], "right"))
-            yield from windows(around[a:b], oids[a:b], loc[a:b], edge[a:b], group[a:b])
+            yield from windows(around[a:b], oids[a:b], tags[a:b], loc[a:b], edge[a:b], group[a:b])
             a = b
 
-    def windows(around, oids, loc, edge, group):
+    def windows(around, oids, tags, loc, edge, group):
         ok = _valid(unit, edge)
         h = unit.window_names(around)
         row, j = np.nonzero(ok)
@@ -231,15 +230,15 @@ def _settle(unit: Unit):
         flags[row[again], j[again]] = True
         some = flags.any(1)
         if some.any():
-            yield out(oids[some], loc[some], _bits(flags[some]))
+            yield out(oids[some], tags[some], loc[some], _bits(flags[some]))
 
     def run(it):
         kept, last = None, None  # open rows of the last name; (name, rank, least oid) of the last row
         for batch in it:
-            nm, rank, oids, loc, edge = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            nm, rank, oids, tags, loc, edge = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
             if not len(nm):
                 continue
-            data, off = utf8(batch.column(5))
+            data, off = utf8(batch.column(6))
             mat = data[off[0] : off[-1]].reshape(len(nm), -1)
             # the smallest oid of each (name, rank), also over the batch's edge
             head = np.concatenate([[True], (rank[1:] != rank[:-1]) | (nm[1:] != nm[:-1])])
@@ -249,8 +248,8 @@ def _settle(unit: Unit):
             last = (nm[-1], rank[-1], least[-1])
             done = oids > least
             if done.any():
-                yield out(oids[done], loc[done], np.full(int(done.sum()), ALL))
-            rows = [x[~done] for x in (nm, rank, oids, loc, edge, mat)]
+                yield out(oids[done], tags[done], loc[done], np.full(int(done.sum()), ALL))
+            rows = [x[~done] for x in (nm, rank, oids, tags, loc, edge, mat)]
             if kept is not None:
                 rows = [np.concatenate([a, b]) for a, b in zip(kept, rows, strict=True)]
             nm = rows[0]
@@ -280,13 +279,13 @@ def _first_run(head: np.ndarray) -> int:
 def _window_rows(unit: Unit):
     def run(it):
         for batch in it:
-            oids, loc, edge = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("oid", "loc", "edge"))
+            oids, tags, loc, edge = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("oid", "tag", "loc", "edge"))
             data, off = utf8(batch.column("around"))
             if not len(oids):
                 continue
             h = unit.window_names(data[off[0] : off[-1]].reshape(len(oids), -1))
             row, j = np.nonzero(_valid(unit, edge))
-            yield pa.RecordBatch.from_arrays([pa.array(h[row, j].view(np.int64)), pa.array(oids[row]), pa.array(loc[row]), pa.array(np.int64(1) << j)], names=["win", "oid", "loc", "starts"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[row, j].view(np.int64)), pa.array(oids[row]), pa.array(tags[row]), pa.array(loc[row]), pa.array(np.int64(1) << j)], names=["win", "oid", "tag", "loc", "starts"])
 
     return run
 
@@ -303,29 +302,27 @@ def repeated_starts(docs: DataFrame, unit: Unit, hot: int = HOT) -> DataFrame:
         often = sample.mapInArrow(_emit(unit, heavy, True), "name long").groupBy("name").count()
         often = often.filter(F.col("count") >= max(16, int(0.004 * n / SAMPLE)))
         heavy = np.sort(np.array([r.name for r in often.collect()], np.int64).view(U))
-    found = docs.mapInArrow(_emit(unit, heavy, False), "name long, salt long, rank long, oid long, loc long")
+    found = docs.mapInArrow(_emit(unit, heavy, False), "name long, salt long, rank long, oid long, tag long, loc long")
     found = found.repartition("name", "salt").sortWithinPartitions("name", "rank", "oid")
-    sorted_out = stage(found.mapInArrow(_sort_out, "name long, rank long, oid long, loc long"), "anchors")
-    mask = (1 << LOC) - 1
-    of_doc = (F.shiftright("loc", LOC)).alias("tag")
+    sorted_out = stage(found.mapInArrow(_sort_out, "name long, rank long, oid long, tag long, loc long"), "anchors")
     still = sorted_out.filter(F.col("name").isNotNull())
     crowded = stage(still.groupBy("name").count().filter(F.col("count") > hot).select("name"), "crowded")
 
     def neighbourhoods(rows: DataFrame) -> DataFrame:
-        hits = rows.groupBy("oid", of_doc).agg(F.collect_list(F.struct("loc", "name", "rank")).alias("hits"))
-        near = docs.join(hits, ["oid", "tag"]).select("oid", "text", "hits")
-        return near.mapInArrow(_neighbourhoods(unit), "name long, rank long, oid long, loc long, edge long, around binary")
+        hits = rows.groupBy("oid", "tag").agg(F.collect_list(F.struct("loc", "name", "rank")).alias("hits"))
+        near = docs.join(hits, ["oid", "tag"]).select("oid", "tag", "text", "hits")
+        return near.mapInArrow(_neighbourhoods(unit), "name long, rank long, oid long, tag long, loc long, edge long, around binary")
 
     near = neighbourhoods(still.join(crowded, "name", "left_anti")).repartition("name").sortWithinPartitions("name", "rank", "oid")
-    marks = [stage(near.mapInArrow(_settle(unit), "oid long, loc long, starts long"), "marks")]
+    marks = [stage(near.mapInArrow(_settle(unit), "oid long, tag long, loc long, starts long"), "marks")]
     if not crowded.isEmpty():
-        win = neighbourhoods(still.join(crowded, "name", "left_semi")).mapInArrow(_window_rows(unit), "win long, oid long, loc long, starts long")
+        win = neighbourhoods(still.join(crowded, "name", "left_semi")).mapInArrow(_window_rows(unit), "win long, oid long, tag long, loc long, starts long")
         least = stage(win.groupBy("win").agg(F.min("oid").alias("least"), F.max("oid").alias("most")).filter("least < most").drop("most"), "windows")
-        marks.append(stage(win.join(least, "win").filter("least < oid").select("oid", "loc", "starts"), "marks"))
-    out = sorted_out.filter(F.col("name").isNull()).select("oid", "loc", F.lit(int(ALL)).alias("starts"))
+        marks.append(stage(win.join(least, "win").filter("least < oid").select("oid", "tag", "loc", "starts"), "marks"))
+    out = sorted_out.filter(F.col("name").isNull()).select("oid", "tag", "loc", F.lit(int(ALL)).alias("starts"))
     for m in marks:
         out = out.unionByName(m)
-    return out.groupBy("oid", of_doc).agg(F.collect_list(F.struct(F.col("loc").bitwiseAND(F.lit(mask)).alias("pos"), "starts")).alias("marks"))
+    return out.groupBy("oid", "tag").agg(F.collect_list(F.struct(F.col("loc").alias("pos"), "starts")).alias("marks"))
 
 
 def covered(unit: Unit, marks: pa.Array, uoff: np.ndarray) -> np.ndarray:

@@ -9,9 +9,6 @@ from ..plans.staging import drop_staged, release, shared_dir, stage  # noqa: F40
 
 #: A null doc_id is ordered after every other id.
 NULL_ID = (1 << 63) - 1
-#: Rows that share a doc_id are told apart by so many bits of the text's crc32.
-TAG_BITS = 20
-TAG = (1 << TAG_BITS) - 1
 
 
 def oid(id_col: str = "doc_id") -> Column:
@@ -19,7 +16,9 @@ def oid(id_col: str = "doc_id") -> Column:
 
 
 def tag(text_col: str = "text") -> Column:
-    return F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")).bitwiseAND(F.lit(TAG))
+    """Rows that share a doc_id are told apart by all 64 bits of a hash of the text: of m such rows about
+    m * m / 2^65 pairs meet by chance."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,9 +1,12 @@
 import hashlib
 import random
+import zlib
 
 import pytest
 from pyspark.sql import types as T
 
+from lociweave.llm import op4_decontaminate as d4
+from lociweave.llm import op8_jaccard as j8
 from lociweave.llm import repeats
 from lociweave.llm.op1_suffix_dedup import remove_repeated_bytes
 from lociweave.llm.op5_substring_dedup import remove_repeated_words
@@ -73,3 +76,25 @@ def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert remove_repeated_bytes(none).collect() == []
     assert remove_repeated_words(none).collect() == []
+
+
+def same_crc(a, b):
+    """Two texts that start with a and b and whose crc32 are equal in the lower 20 bits."""
+    crc = lambda t: zlib.crc32(t.encode()) & 0xFFFFF
+    seen = {crc(f"{a} q{k}"): f"{a} q{k}" for k in range(5000)}
+    return next((seen[c], t) for k in range(10**6) if (c := crc(t := f"{b} r{k}")) in seen)
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    words = lambda x: " ".join(f"{x}{k}" for k in range(30))
+    a, b = same_crc(words("a"), words("b"))
+    for i in (None, 7):
+        docs = [(1, words("a")), (i, a), (i, b)]
+        for remove, split, window, joiner, columns in ((remove_repeated_bytes, lambda t: list(t.encode()), 50, bytes, [0, 1, 2, 3, 4]), (remove_repeated_words, lambda t: t.split(), 13, lambda u: " ".join(u).encode(), [0, 1, 2, 4])):
+            want = [tuple(r[k] for k in columns) for r in brute(docs, split, window, joiner)]
+            assert sorted(map(tuple, remove(frame(spark, docs)).drop("kept").collect()), key=str) == want
+    items = spark.createDataFrame([(1, words("a"))], "item_id long, text string")
+    docs = frame(spark, [(7, a), (7, b)])
+    assert sorted((r.n_hit, r.contaminated) for r in d4.contamination(docs, items).collect()) == [(0, False), (30, True)]
+    assert b in [r.text for r in d4.decontaminate(docs, items).collect()]
+    assert sorted(r.text for r in j8.without_near_duplicates(docs).collect()) == sorted([a, b])
