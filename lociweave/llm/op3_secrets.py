@@ -76,22 +76,35 @@ def literal_spans(text: str) -> list[tuple[int, int, int, int]]:
     literals: dict[tuple[int, int], set[str]] = {}
     bound: dict[str, tuple[int, int] | None] = {}
     alias: list[tuple[str, str]] = []
+    hop: dict[tuple[int, int], str] = {}  # spans that are names themselves
     for m in PAIR.finditer(text):
         group = m.lastgroup
         at, value = m.span(group), m[group]
         if group == "bare" and IDENTIFIER.match(value):
             alias.append((m["name"], value))
+            hop[at] = value
         literals.setdefault(at, set()).add(m["name"])
         bound[m["name"]] = None if m["name"] in bound and bound[m["name"]] != at else at
-    for _ in range(4):  # chains of constants; each round carries names one step further
-        before = sum(map(len, literals.values()))
-        for target, source in alias:
-            if (at := bound.get(source)) is not None and source != target:
-                literals[at].add(target)
-                if bound.get(target) is not None and text[slice(*bound[target])] == source:
-                    bound[target] = at
-        if sum(map(len, literals.values())) == before:
-            break
+    final: dict[str, tuple[int, int] | None] = {}
+
+    def literal_of(name):
+        """Where the literal stands that a name's chain of constants ends at; none for circles."""
+        path = set()
+        while name not in final:
+            at = bound.get(name)
+            if name in path:
+                final[name] = None
+            elif at is None or bound.get(hop.get(at)) is None:
+                final[name] = at
+            else:
+                path.add(name)
+                name = hop[at]
+        final.update(dict.fromkeys(path, final[name]))
+        return final[name]
+
+    for target, source in alias:
+        if source != target and (at := literal_of(source)) is not None:
+            literals[at].add(target)
     out = []
     for (a, b), names in literals.items():
         named = max(map(name_score, names))

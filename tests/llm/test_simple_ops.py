@@ -71,6 +71,15 @@ def test_long_prose_hides_no_literal():
         s3.scan(text)
 
 
+@pytest.mark.parametrize("steps", [1, 2, 3, 9, 5000])
+def test_chains_of_constants_in_any_order(steps):
+    lines = ["password = n0", *(f"n{k} = n{k + 1}" for k in range(steps)), f'n{steps} = "Zx9$kQ2!mN7pLw"']
+    for text in ("\n".join(lines), "\n".join(lines[::-1])):
+        at = text.index("Zx9")
+        assert s3.literal_spans(text) == [(at, 3, at + 14, at)]
+    assert s3.literal_spans("password = n1\nn1 = n2\nn2 = n1\n") == []
+
+
 def brute4(docs, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     split = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
