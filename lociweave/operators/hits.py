@@ -1,11 +1,12 @@
 """Alignment segments -> reciprocal hits: normalise, drop contained segments, cover, aggregate.
 
-One shuffle, on the transcript pair; a pair's segments are one array, and all steps are expressions on it.
+One shuffle, on the transcript pair; a pair's segments are sorted along either side and swept with running maxima,
+n log n whatever the number of segments of a pair, and spilled where a pair is large.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..compat import DEFAULT, Compat
@@ -29,87 +30,80 @@ def normalize(hits: DataFrame, width: int = 1_000_000) -> DataFrame:
     )
 
 
-SEGMENT = ("Astart", "Aend", "Bstart", "Bend", "dir", "qlen")
+PAIR = ["txA", "txB"]
+RANGES = ("Astart", "Aend", "Bstart", "Bend")
+SEGMENT = (*RANGES, "dir", "qlen")
 
 
-def _pairs(norm: DataFrame) -> DataFrame:
-    """txA, txB, h: the pair's segments in order, numbered; equal ones by identity as text."""
-    fields = [F.col(c) for c in SEGMENT] + [F.col("pident").cast("string").alias("text"), F.col("pident")]
-    h = F.sort_array(F.collect_list(F.struct(*fields)))
-    rows = norm.groupBy("txA", "txB").agg(h.alias("h"))
-    return rows.withColumn("h", F.transform("h", lambda x, i: F.struct(i.alias("i"), *(x[c].alias(c) for c in (*SEGMENT, "pident")))))
+def _before(window) -> Window:
+    return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _inside(x: Column, y: Column, side: str) -> Column:
-    return (y[f"{side}start"] <= x[f"{side}start"]) & (x[f"{side}end"] <= y[f"{side}end"])
+def flagged(norm: DataFrame) -> DataFrame:
+    """norm with kept: segments inside no other of their direction, on either side; two with equal ranges on
+    one side only drop each other; of wholly equal ones the first stays (by length, then identity as text)."""
+    rows = norm.select(*PAIR, *SEGMENT, "pident").repartition(*PAIR)
+    own = [*PAIR, "dir"]
+    first = F.row_number().over(Window.partitionBy(*own, *RANGES).orderBy("qlen", F.col("pident").cast("string")))
+    rows = rows.withColumn("__first", first == 1)
+    kept = F.col("__first")
+    for side in ("A", "B"):
+        start, end = f"{side}start", f"{side}end"
+        same = Window.partitionBy(*own, start, end)
+        # copies of a segment count once; a range that another segment has on this side drops both
+        shared = F.sum(F.col("__first").cast("int")).over(same) > 1
+        sweep = Window.partitionBy(*own).orderBy(F.asc(start), F.desc(end))
+        # rows before have a smaller start, or the same and a greater end: any that reaches as far holds this one
+        reach = F.max(end).over(_before(sweep))
+        rows = rows.withColumn(f"__{side}", F.when(shared, True).otherwise(F.coalesce(reach >= F.col(end), F.lit(False))))
+        kept = kept & ~F.col(f"__{side}")
+    return rows.withColumn("kept", kept).drop("__first", "__A", "__B")
 
 
-def _equal(x: Column, y: Column) -> Column:
-    same = F.lit(True)
-    for c in ("Astart", "Aend", "Bstart", "Bend"):
-        same = same & (x[c] == y[c])
-    return same
-
-
-def uncontained(h: Column) -> Column:
-    """Segments inside no other of their direction, on either side; two with equal ranges on one side only
-    drop each other; of wholly equal ones the first stays."""
-
-    def beaten(x):
-        def by(y):
-            other = (x["dir"] == y["dir"]) & (x["i"] != y["i"])
-            return other & F.when(_equal(x, y), y["i"] < x["i"]).otherwise(_inside(x, y, "A") | _inside(x, y, "B"))
-
-        return F.exists(h, by)
-
-    return F.filter(h, lambda x: ~beaten(x))
-
-
-def union_length(segments: Column, start: str, end: str) -> Column:
-    """Length of the union of closed ranges; ranges that touch or overlap merge."""
-    ordered = F.array_sort(F.transform(segments, lambda x: F.struct(x[start].cast("long").alias("s"), x[end].cast("long").alias("e"))))
-    zero = F.struct(F.lit(0).cast("long").alias("total"), F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("e"))
-
-    def step(acc, x):
-        first, joins = acc["s"].isNull(), x["s"] <= acc["e"]
-        total = F.when(first | joins, acc["total"]).otherwise(acc["total"] + acc["e"] - acc["s"] + 1)
-        return F.struct(total.alias("total"), F.when(~first & joins, acc["s"]).otherwise(x["s"]).alias("s"), F.when(~first & joins, F.greatest(acc["e"], x["e"])).otherwise(x["e"]).alias("e"))
-
-    return F.aggregate(ordered, zero, step, lambda acc: F.when(acc["s"].isNull(), F.lit(0).cast("long")).otherwise(acc["total"] + acc["e"] - acc["s"] + 1))
-
-
-def _of(h: Column, direction: int) -> Column:
-    return F.filter(h, lambda x: x["dir"] == direction)
+def union_length(rows: DataFrame, keys: list[str], start: str, end: str, where: Column | None = None, name: str = "added") -> DataFrame:
+    """rows with what each closed range adds to the union of those before it, by start: the sum over a key is
+    the length of its union. Ranges outside `where` add nothing."""
+    where = F.lit(True) if where is None else where
+    sweep = Window.partitionBy(*keys).orderBy(start, end)
+    reach = F.max(F.when(where, F.col(end))).over(_before(sweep))
+    added = F.greatest(F.lit(0), F.col(end) - F.greatest(F.col(start) - 1, reach))  # greatest skips nulls
+    return rows.withColumn(name, F.when(where, added).otherwise(0).cast("long"))
 
 
 def kept_segments(norm: DataFrame) -> DataFrame:
     """txA, txB and the segments that stay, one a row."""
-    rows = _pairs(norm).select("txA", "txB", F.explode(uncontained(F.col("h"))).alias("x"))
-    return rows.select("txA", "txB", *(F.col(f"x.{c}") for c in (*SEGMENT, "pident")))
+    return flagged(norm).filter("kept").select(*PAIR, *SEGMENT, "pident")
 
 
 def coverage(norm: DataFrame, compat: Compat = DEFAULT) -> DataFrame:
-    """txA, txB, n_kept, len1, len2, cov1, cov2 and the kept segments h: how much of the query each
-    direction covers, in per cent; null where a direction has no length."""
-    rows = _pairs(norm).withColumn("h", uncontained(F.col("h")))
-    for k, side in ((1, "A"), (2, "B")):
-        own = _of(F.col("h"), k)
-        size = F.array_max(F.transform(own, lambda x: x["qlen"])).cast("double")
-        length = union_length(own, f"{side}start", f"{side}end")
-        cov = F.when(size > 0, 100.0 * length / size)
-        rows = rows.withColumn(f"len{k}", length).withColumn(f"cov{k}", F.floor(cov).cast("long") if compat.truncate_coverage else cov)
-    return rows.withColumn("n_kept", F.size("h").cast("long"))
+    """txA, txB, n_kept, len1, len2, cov1, cov2: how much of the query each direction covers, in per cent, null
+    where a direction has no length; n1, n2 segments kept of either direction; total, match: their summed A
+    lengths, also times identity."""
+    query = lambda side: F.when(F.col("dir") == 1, F.col(f"A{side}")).otherwise(F.col(f"B{side}"))
+    rows = flagged(norm).withColumn("__s", query("start").cast("long")).withColumn("__e", query("end").cast("long"))
+    rows = union_length(rows, [*PAIR, "dir"], "__s", "__e", F.col("kept"))
+    width = (F.col("Aend") - F.col("Astart") + 1).cast("double")
+    aggs = [
+        F.count_if("kept").alias("n_kept"),
+        F.sum(F.when(F.col("kept"), width)).alias("total"),
+        F.sum(F.when(F.col("kept"), F.col("pident") / 100 * width)).alias("match"),
+    ]
+    for k in (1, 2):
+        this = F.col("kept") & (F.col("dir") == k)
+        aggs += [F.count_if(this).alias(f"n{k}"), F.sum(F.when(F.col("dir") == k, F.col("added")).otherwise(0)).alias(f"len{k}"), F.max(F.when(this, F.col("qlen"))).cast("double").alias(f"__q{k}")]
+    rows = rows.groupBy(*PAIR).agg(*aggs)
+    for k in (1, 2):
+        cov = F.when(F.col(f"__q{k}") > 0, 100.0 * F.col(f"len{k}") / F.col(f"__q{k}"))
+        rows = rows.withColumn(f"cov{k}", F.floor(cov).cast("long") if compat.truncate_coverage else cov)
+    return rows.drop("__q1", "__q2")
 
 
 def reciprocal_hits(norm: DataFrame, compat: Compat = DEFAULT) -> DataFrame:
     """genome1_tx, genome2_tx, pident, q2s_qcovs, s2q_qcovs, q2s_ci, s2q_ci, mutual_ci of the pairs hit in
     both directions. Identity is weighted by A length."""
-    rows = coverage(norm, compat).filter(F.exists("h", lambda x: x["dir"] == 1) & F.exists("h", lambda x: x["dir"] == 2))
-    width = lambda x: (x["Aend"] - x["Astart"] + 1).cast("double")
-    total = F.aggregate("h", F.lit(0.0), lambda acc, x: acc + width(x))
-    match = F.aggregate("h", F.lit(0.0), lambda acc, x: acc + x["pident"] / 100 * width(x))
+    rows = coverage(norm, compat).filter("n1 > 0 and n2 > 0")
     out = sig6 if compat.sig6 else (lambda x: x)
-    pident = match / total * 100
+    pident = F.col("match") / F.col("total") * 100
     q2s, s2q = pident * F.col("cov1") * 1e-4, pident * F.col("cov2") * 1e-4
     return rows.select(
         F.col("txA").alias("genome1_tx"), F.col("txB").alias("genome2_tx"), out(pident).alias("pident"), F.col("cov1").alias("q2s_qcovs"), F.col("cov2").alias("s2q_qcovs"),
