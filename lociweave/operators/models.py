@@ -15,9 +15,9 @@ def cds_lengths(cds: DataFrame) -> DataFrame:
 
 
 def relative_length_filter(models: DataFrame, len_diff: float = 0.2) -> DataFrame:
-    """Rows where both lengths differ by at most len_diff of the larger. models: cds_len, cds_len2, span,
-    span2."""
-    near = lambda a, b: F.abs(F.col(a) - F.col(b)) / F.greatest(a, b) <= len_diff
+    """Rows where both lengths differ by at most len_diff of the larger; two of length 0 are not alike.
+    models: cds_len, cds_len2, span, span2."""
+    near = lambda a, b: (F.greatest(a, b) > 0) & (F.abs(F.col(a) - F.col(b)) <= len_diff * F.greatest(a, b))
     return models.filter(near("cds_len", "cds_len2") & near("span", "span2"))
 
 
