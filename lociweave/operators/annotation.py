@@ -21,7 +21,7 @@ def keep_types(features: DataFrame) -> DataFrame:
 def with_gene_id(features: DataFrame) -> DataFrame:
     """features with parent (the first one) and gene_id: a gene's own ID, a transcript's parent, of other
     elements the gene of their transcript."""
-    rows = features.withColumn("parent", F.try_element_at("Parent", F.lit(1)))
+    rows = features.withColumn("parent", F.get("Parent", F.lit(0)))
     tx = rows.filter(F.col("type").isin(*TRANSCRIPTS)).select("genome_id", F.col("ID").alias("parent"), F.col("parent").alias("__gene")).dropDuplicates(["genome_id", "parent"])
     rows = rows.join(tx, ["genome_id", "parent"], "left")
     gene = F.when(F.col("type") == "gene", F.col("ID")).when(F.col("type").isin(*TRANSCRIPTS), F.col("parent")).otherwise(F.col("__gene"))

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import stage
 from .graph import connected_components
 
+#: Width of the bins that a long sequence is swept in.
+BIN = 10_000
+
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int, lo: tuple[str, str] = ("start", "end"), ro: tuple[str, str] = ("start2", "end2")) -> DataFrame:
     """Pairs of rows with equal keys whose ranges overlap. Both sides go to the bins of `width` that they
@@ -17,12 +21,29 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int,
     return rows.filter(F.col("__bin") == F.floor(F.greatest(F.col(lo[0]), F.col(ro[0])) / width)).drop("__bin")
 
 
-def islands(rows: DataFrame, keys: list[str], start: str = "start", end: str = "end", tie: list[Column] | None = None) -> DataFrame:
-    """rows with island: numbered runs of ranges that touch or overlap, by start."""
-    w = Window.partitionBy(*keys).orderBy(start, end, *(tie or []))
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)
-    return rows.withColumn("__new", new).withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    right = right.withColumnsRenamed({k: f"{k}__r" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(right[f"{k}__r"])
+    return left.join(right, same).drop(*(f"{k}__r" for k in keys))
+
+
+def islands(rows: DataFrame, keys: list[str], start: str = "start", end: str = "end", tie: list[Column] | None = None, width: int = BIN) -> DataFrame:
+    """rows with island: numbered runs of ranges that touch or overlap, by start. Each bin of starts is swept for
+    itself; how far the bins before it reach, and how many islands they began, comes from one row a bin."""
+    binned = [*keys, "__bin"]
+    rows = rows.withColumn("__bin", F.coalesce(F.floor(F.col(start) / width), F.lit(-(1 << 62))))
+    sweep = Window.partitionBy(*binned).orderBy(start, end, *(tie or []))
+    earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy(*binned).agg(F.max(end).alias("__m")).select(*binned, F.max("__m").over(earlier).alias("__before"))
+    here = F.max(end).over(sweep.rowsBetween(Window.unboundedPreceding, -1))
+    rows = _join_null_safe(rows, reach, binned).withColumn("__reach", F.greatest(here, F.col("__before")))  # skips nulls
+    rows = rows.withColumn("__new", F.when(F.col("__reach").isNull() | (F.col(start) > F.col("__reach")), 1).otherwise(0))
+    begun = rows.groupBy(*binned).agg(F.sum("__new").alias("__n")).select(*binned, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
+    rows = _join_null_safe(rows, begun, binned)
+    number = F.col("__offset") + F.sum("__new").over(sweep.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("island", number).drop("__bin", "__before", "__reach", "__new", "__offset")
 
 
 def flanking(genes: DataFrame, keys: list[str], order: str, anchor: str) -> DataFrame:
@@ -36,11 +57,12 @@ def flanking(genes: DataFrame, keys: list[str], order: str, anchor: str) -> Data
     return rows.select(*keys, order, F.explode(F.array_distinct(F.filter(F.array("b", "a"), lambda x: x.isNotNull()))).alias("anchor_at"))
 
 
-def collapse_overlapping(genes: DataFrame, cds: DataFrame, width: int = 10_000) -> DataFrame:
-    """gene, collapsed: genes whose CDS overlap are one, named a/b/c. cds: gene, chr, start, end; genes: gene."""
-    one = cds.join(genes, "gene", "left_semi")
-    other = one.select(F.col("gene").alias("gene2"), "chr", F.col("start").alias("start2"), F.col("end").alias("end2"))
-    link = overlap_join(one, other, ["chr"], width).select(F.col("gene").alias("src"), F.col("gene2").alias("dst")).distinct()
-    found = connected_components(link)
+def collapse_overlapping(genes: DataFrame, cds: DataFrame, width: int = BIN) -> DataFrame:
+    """gene, collapsed: genes whose CDS overlap are one, named a/b/c. cds: gene, chr, start, end; genes: gene.
+    All CDS of an island hang together, so one link from each to the island's first gene stands for its pairs."""
+    one = cds.join(genes, "gene", "left_semi").filter("chr is not null and start <= end").select("gene", "chr", "start", "end")
+    own = islands(stage(one, "cds"), ["chr"], width=width).select("gene", "chr", "island").distinct()
+    first = own.groupBy("chr", "island").agg(F.min("gene").alias("dst"))
+    found = connected_components(own.join(first, ["chr", "island"]).select(F.col("gene").alias("src"), "dst"))
     names = found.groupBy("component").agg(F.array_join(F.array_sort(F.collect_list(F.col("node").cast("string"))), "/").alias("collapsed"))
     return found.join(names, "component").select(F.col("node").alias("gene"), "collapsed")
