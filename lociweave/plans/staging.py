@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -35,14 +34,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     finally:
         spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
     _made.append((spark, path))
-    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def staged() -> int:
+    """How many staged tables there are: what `drop_staged` takes as `keep` to spare those made so far."""
+    return len(_made)
 
 
 def drop_staged(spark: SparkSession, keep: int = 0) -> None:

@@ -160,3 +160,39 @@ def test_search_plan():
 def test_codons(spark):
     df = spark.createDataFrame([("ATGAAATAA",), ("CTG",)], "seq string")
     assert [(r.a, r.b) for r in df.select(sequences.has_start(F.col("seq")).alias("a"), sequences.has_stop(F.col("seq")).alias("b")).collect()] == [(True, True), (False, False)]
+
+
+@pytest.mark.parametrize("one_task", [10**6, 0])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_either_way(spark, one_task, kind):
+    r = random.Random(3)
+    e = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(0, k) for k in range(400, 460)] + [(None, 3), (700, 700)]
+    got = graph.connected_components(spark.createDataFrame(e, "src long, dst long").selectExpr(f"cast(src as {kind}) src", f"cast(dst as {kind}) dst").repartition(5), one_task=one_task).collect()
+    root = {v: v for p in e if None not in p for v in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in e:
+        if a is not None:
+            root[find(a)] = find(b)
+    groups = {}
+    for v in root:
+        groups.setdefault(find(v), []).append(v if kind == "long" else str(v))
+    assert {x.node: x.component for x in got} == {v: min(g) for g in groups.values() for v in g} and len(got) == len(root)
+
+
+def test_islands(spark):
+    r = random.Random(4)
+    rows = [(r.choice(["1", "2", None]), s := r.randrange(900), s + r.choice([0, 3, 40, 200]) * r.randrange(2)) for _ in range(150)]
+    got = intervals.islands(spark.createDataFrame(rows, "chr string, start long, end long"), ["chr"], width=50).collect()
+    assert len(got) == len(rows)
+    for c in ("1", "2", None):
+        n, reach, want = 0, -1, []
+        for _, s, e in sorted((x for x in rows if x[0] == c), key=lambda x: x[1:]):
+            n += s > reach
+            reach = max(reach, e)
+            want.append((s, e, n))
+        assert sorted((x.start, x.end, x.island) for x in got if x.chr == c) == sorted(want)
