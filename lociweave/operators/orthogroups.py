@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import stage
 from .graph import connected_components
 
 
@@ -31,10 +32,11 @@ def edges(pairs: DataFrame) -> DataFrame:
 
 
 def partition_components(pairs: DataFrame) -> DataFrame:
-    """name, genome, component, n_vertices, n_genomes, simple: one gene a genome at most."""
-    found = connected_components(edges(pairs).select("src", "dst")).withColumnRenamed("node", "name")
-    size = found.join(vertices(pairs), "name").groupBy("component").agg(F.count(F.lit(1)).alias("n_vertices"), F.count_distinct("genome").alias("n_genomes"))
-    return found.join(vertices(pairs), "name").join(size, "component").withColumn("simple", F.col("n_vertices") == F.col("n_genomes"))
+    """name, genome, gene, component, n_vertices, n_genomes, simple: one gene a genome at most."""
+    pairs = stage(pairs.select("g1", "g2", "gene1", "gene2", F.lit(None).cast("double").alias("mutual_ci")).distinct(), "edges")
+    rows = stage(connected_components(edges(pairs).select("src", "dst")).withColumnRenamed("node", "name").join(vertices(pairs), "name"), "rows")
+    size = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n_vertices"), F.count_distinct("genome").alias("n_genomes"))
+    return rows.join(size, "component").withColumn("simple", F.col("n_vertices") == F.col("n_genomes"))
 
 
 def colorful_sets(vertex: list[str], colour: dict[str, str], adjacent: dict[str, set[str]]) -> list[tuple[str, ...]]:
@@ -60,26 +62,45 @@ def colorful_sets(vertex: list[str], colour: dict[str, str], adjacent: dict[str,
     return out
 
 
+def _enumerate(it: Iterator[pd.DataFrame]):
+    """Rows sorted by component -> the maximal sets of each; holds one component."""
+    columns = ["set_id", "genome", "gene"]
+
+    def sets_of(rows):
+        genome, gene = {r[1]: r[2] for r in rows}, {r[1]: r[3] for r in rows}
+        found = colorful_sets([r[1] for r in rows], genome, {r[1]: set(r[4]) for r in rows})
+        return [("|".join(s), genome[v], gene[v]) for s in found for v in s]
+
+    held, out = [], []
+    for pdf in it:
+        for row in pdf.itertuples(index=False, name=None):
+            if held and row[0] != held[0][0]:
+                out += sets_of(held)
+                held = []
+            held.append(row)
+        if len(out) > 10_000:
+            yield pd.DataFrame(out, columns=columns)
+            out = []
+    yield pd.DataFrame(out + sets_of(held), columns=columns)
+
+
 def orthogroup_members(pairs: DataFrame, max_vertices: int | None = None) -> DataFrame:
     """set_id, genome, gene: the maximal sets. Components with one gene a genome pass as they are; the
     others are enumerated each in one task, unless larger than max_vertices (see skipped_components)."""
-    part = partition_components(pairs)
+    pairs = stage(pairs.select("g1", "g2", "gene1", "gene2", F.lit(None).cast("double").alias("mutual_ci")).distinct(), "pairs")
+    part = stage(partition_components(pairs).withColumn("gene", F.col("gene").cast("string")), "parts")
     fast = part.filter("simple").select(F.col("component").alias("set_id"), "genome", "gene")
     rest = part.filter("not simple")
     if max_vertices is not None:
         rest = rest.filter(F.col("n_vertices") <= max_vertices)
-    link = edges(pairs).select("src", "dst").distinct()
-    rows = rest.select("component", "name", "genome", F.col("gene").cast("string").alias("gene"))
-    near = link.unionByName(link.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).groupBy("src").agg(F.collect_set("dst").alias("near"))
-    rows = rows.join(near, rows.name == near.src).select("component", "name", "genome", "gene", "near")
-
-    def enumerate_(pdf: pd.DataFrame) -> pd.DataFrame:
-        colour, gene = dict(zip(pdf.name, pdf.genome)), dict(zip(pdf.name, pdf.gene))
-        sets = colorful_sets(list(pdf.name), colour, {n: set(x) for n, x in zip(pdf.name, pdf.near)})
-        return pd.DataFrame([("|".join(s), colour[v], gene[v]) for s in sets for v in s], columns=["set_id", "genome", "gene"])
-
-    heavy = rows.groupBy("component").applyInPandas(enumerate_, "set_id string, genome string, gene string")
-    return fast.select("set_id", "genome", F.col("gene").cast("string").alias("gene")).unionByName(heavy)
+    rest = rest.select("component", "name", "genome", "gene")
+    link = edges(pairs).select("src", "dst")
+    # only edges of components that are to be enumerated
+    near = link.unionByName(link.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).join(rest.select(F.col("name").alias("src")), "src", "left_semi")
+    near = near.groupBy("src").agg(F.collect_set("dst").alias("near"))
+    rows = rest.join(near, rest.name == near.src).select("component", "name", "genome", "gene", "near")
+    heavy = rows.repartition("component").sortWithinPartitions("component").mapInPandas(_enumerate, "set_id string, genome string, gene string")
+    return fast.unionByName(heavy)
 
 
 def skipped_components(pairs: DataFrame, max_vertices: int) -> DataFrame:
@@ -101,19 +122,16 @@ def pairwise_groups(members: DataFrame) -> DataFrame:
 def reorganised_orphans(members: DataFrame, genes: DataFrame, genomes: list[str]) -> DataFrame:
     """g1, g2, genome, gene: genes that are in no pair of the reorganised tables."""
     pairs = pairwise_groups(members)
-    out = None
-    for g1, g2 in combinations(sorted(genomes), 2):
-        for g, col in ((g1, "gene1"), (g2, "gene2")):
-            own = genes.filter(F.col("genome") == g).select(F.lit(g1).alias("g1"), F.lit(g2).alias("g2"), "genome", F.col("gene").cast("string").alias("gene"))
-            part = own.join(pairs.filter((F.col("g1") == g1) & (F.col("g2") == g2)).select(F.col(col).alias("gene")).distinct(), "gene", "left_anti")
-            out = part if out is None else out.unionByName(part)
-    return out.select("g1", "g2", "genome", "gene")
+    used = pairs.select(F.explode(F.array(F.struct("g1", "g2", F.col("g1").alias("genome"), F.col("gene1").alias("gene")), F.struct("g1", "g2", F.col("g2").alias("genome"), F.col("gene2").alias("gene")))).alias("u")).select("u.*").distinct()
+    every = genes.filter(F.col("genome").isin(*genomes)).select("genome", F.col("gene").cast("string").alias("gene"), F.explode(F.array(*map(F.lit, sorted(genomes)))).alias("other")).filter("genome <> other")
+    every = every.select(F.least("genome", "other").alias("g1"), F.greatest("genome", "other").alias("g2"), "genome", "gene")
+    return every.join(used, ["g1", "g2", "genome", "gene"], "left_anti")
 
 
 def component_stats(pairs: DataFrame) -> DataFrame:
     """component, nE, nV, nGenome and max, q1, median, q3, min, mean, sd of mutual_ci."""
-    e = edges(pairs)
-    comp = connected_components(e.select("src", "dst"))
+    e = stage(edges(pairs), "edges")
+    comp = stage(connected_components(e.select("src", "dst")), "components")
     rows = e.join(comp.withColumnRenamed("node", "src"), "src")
     size = comp.withColumn("genome", F.substring_index("node", ":", 1)).groupBy("component").agg(F.count(F.lit(1)).alias("nV"), F.count_distinct("genome").alias("nGenome"))
     return rows.groupBy("component").agg(*edge_stats()).join(size, "component")
