@@ -7,10 +7,15 @@ ties go by mutual_ci descending, then the genes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.stats import fences
+from ..functions.stats import fences, fences_of
 from ..plans.staging import stage
 from .graph import connected_components
 
@@ -32,10 +37,18 @@ def dedup_gene_pairs(hits: DataFrame, tie: list[Column] | None = None) -> DataFr
     return first_by(hits, [*PAIR, "gene1", "gene2"], tie or _tie())
 
 
-def _best_flags(pairs: DataFrame) -> DataFrame:
-    r1 = F.row_number().over(Window.partitionBy(*PAIR, "gene1").orderBy(F.desc("ci_q2s"), *_tie()))
-    r2 = F.row_number().over(Window.partitionBy(*PAIR, "gene2").orderBy(F.desc("ci_s2q"), F.desc("ci_q2s"), *_tie()))
-    return pairs.withColumn("r1", r1).withColumn("r2", r2)
+def _best_flags(pairs: DataFrame, counts: bool = False) -> DataFrame:
+    """pairs with r1, r2: ranks among gene1's and gene2's pairs; with counts also n1, n2: how many these are. One
+    pass, a shuffle for each side."""
+    one, two = Window.partitionBy(*PAIR, "gene1"), Window.partitionBy(*PAIR, "gene2")
+    new = {"r2": F.row_number().over(two.orderBy(F.desc("ci_s2q"), F.desc("ci_q2s"), *_tie()))}
+    if counts:
+        new["n2"] = F.count(F.lit(1)).over(two)
+    pairs = pairs.withColumns(new)
+    new = {"r1": F.row_number().over(one.orderBy(F.desc("ci_q2s"), *_tie()))}
+    if counts:
+        new["n1"] = F.count(F.lit(1)).over(one)
+    return pairs.withColumns(new)
 
 
 def reciprocal_best(pairs: DataFrame) -> DataFrame:
@@ -48,14 +61,17 @@ def untangle(pairs: DataFrame) -> DataFrame:
     return _best_flags(pairs).filter("r1 = 1 or r2 = 1").drop("r1", "r2")
 
 
+def _within_copies(counted: DataFrame) -> DataFrame:
+    """counted (with n1, n2) without rows that have more of both than the upper fences."""
+    limit = fences_of(counted, PAIR, {"f1": "n1", "f2": "n2"})
+    return counted.join(limit, PAIR).filter("not (n1 > f1_high and n2 > f2_high)").select(*counted.columns)
+
+
 def drop_high_copy(best: DataFrame, pairs: DataFrame) -> DataFrame:
     """Without reciprocal bests both of whose genes have more hits than the upper fence of their side."""
     n1 = pairs.groupBy(*PAIR, "gene1").agg(F.count(F.lit(1)).alias("n1"))
     n2 = pairs.groupBy(*PAIR, "gene2").agg(F.count(F.lit(1)).alias("n2"))
-    rows = best.join(n1, [*PAIR, "gene1"]).join(n2, [*PAIR, "gene2"])
-    f1, f2 = fences(rows, PAIR, "n1", name="f1"), fences(rows, PAIR, "n2", name="f2")
-    rows = rows.join(f1, PAIR).join(f2, PAIR)
-    return rows.filter("not (n1 > f1_high and n2 > f2_high)").select(*best.columns)
+    return _within_copies(best.join(n1, [*PAIR, "gene1"]).join(n2, [*PAIR, "gene2"])).select(*best.columns)
 
 
 def identity_fence(rows: DataFrame) -> DataFrame:
@@ -63,18 +79,96 @@ def identity_fence(rows: DataFrame) -> DataFrame:
 
 
 def anchors(pairs: DataFrame) -> DataFrame:
-    return identity_fence(drop_high_copy(reciprocal_best(pairs), pairs))
+    """identity_fence(drop_high_copy(reciprocal_best(pairs), pairs)), with pairs read once: the bests, far fewer,
+    are written with their genes' counts before the fences read them."""
+    counted = stage(_best_flags(pairs, counts=True).filter("r1 = 1 and r2 = 1").drop("r1", "r2"), "best")
+    return identity_fence(_within_copies(counted).drop("n1", "n2")).select(*pairs.columns)
+
+
+#: Pairs of one chromosome pair that a task takes; more are dealt to several, each with the anchors.
+NEAR_ROWS = 500_000
+
+
+def nearest(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, omit_zero: bool) -> np.ndarray:
+    """L1 distance of each point (x, y) to the nearest of the anchors (a, b), a ascending; infinite if none. Goes
+    outwards along a from x until no anchor further off can be nearer."""
+    best = np.full(len(x), np.inf)
+    for step in (1, -1):
+        at = np.searchsorted(a, x) if step == 1 else np.searchsorted(a, x) - 1
+        open_ = np.arange(len(x))
+        while len(open_):
+            inside = (at >= 0) & (at < len(a))
+            open_, at = open_[inside], at[inside]
+            along = np.abs(a[at] - x[open_])
+            near = along < best[open_]
+            open_, at, along = open_[near], at[near], along[near]
+            d = along + np.abs(b[at] - y[open_])
+            if omit_zero:
+                d = np.where(d == 0, np.inf, d)
+            best[open_] = np.minimum(best[open_], d)
+            at = at + step
+    return best
+
+
+def _near_rows(omit_zero: bool, whole: bool):
+    """Rows sorted by (__gid, __salt, __kind): anchors of a group, then its pairs, which go on with dist."""
+
+    def run(it: Iterator[pa.RecordBatch]):
+        group, a, b, ready = None, [], [], None
+        for batch in it:
+            gid, salt, kind = (batch.column(c).fill_null(-1).to_numpy(zero_copy_only=False) for c in ("__gid", "__salt", "__kind"))
+            x, y = (batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("pos1", "pos2"))
+            dist = np.full(len(gid), np.inf)
+            cuts = np.flatnonzero((gid[1:] != gid[:-1]) | (salt[1:] != salt[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(gid)]):
+                if i == j:
+                    continue
+                if (gid[i], salt[i]) != group:
+                    group, a, b, ready = (gid[i], salt[i]), [], [], None
+                if kind[i] == 0:
+                    a.append(x[i:j])
+                    b.append(y[i:j])
+                    continue
+                if ready is None and a:
+                    p, q = np.concatenate(a), np.concatenate(b)
+                    order = np.argsort(p, kind="stable")
+                    ready = (p[order], q[order])
+                if ready is not None:
+                    some = ~(np.isnan(x[i:j]) | np.isnan(y[i:j]))
+                    part = np.full(j - i, np.inf)
+                    part[some] = nearest(x[i:j][some], y[i:j][some], *ready, omit_zero)
+                    dist[i:j] = part
+            keep = kind == 1
+            out = pa.array(np.where(np.isfinite(dist), dist, 0)[keep], mask=~np.isfinite(dist[keep]))
+            rows = batch.filter(pa.array(keep)).drop_columns(["__salt", "__kind"])
+            yield rows.append_column("dist", out.cast(pa.int64()) if whole else out)
+
+    return run
 
 
 def nearest_anchor(pairs: DataFrame, anchor: DataFrame, omit_zero: bool = False) -> DataFrame:
-    """pairs with dist: L1 distance to the nearest anchor of the same two chromosomes, null if none. An
-    equi-join on genome and chromosome pair with a partial minimum; with omit_zero not its own place."""
-    a = anchor.select(*PAIR, "chr1", "chr2", F.col("pos1").alias("a1"), F.col("pos2").alias("a2"))
-    d = F.abs(F.col("pos1") - F.col("a1")) + F.abs(F.col("pos2") - F.col("a2"))
-    d = F.when(d != 0, d) if omit_zero else d
-    key = [*PAIR, "gene1", "gene2"]
-    near = pairs.join(a, [*PAIR, "chr1", "chr2"]).groupBy(*key).agg(F.min(d).alias("dist"))
-    return pairs.join(near, key, "left")
+    """pairs with dist: L1 distance to the nearest anchor of the same two chromosomes, null if none; with omit_zero
+    not its own place. Places are exact up to 2^53.
+
+    Pairs are dealt once by chromosome pair, in portions of `NEAR_ROWS`, and meet the sorted anchors there: anchors
+    are one to one, so a chromosome pair has no more of them than genes.
+    """
+    spot = [*PAIR, "chr1", "chr2"]
+    groups = pairs.filter("chr1 is not null and chr2 is not null").groupBy(*spot).agg(F.ceil(F.count(F.lit(1)) / NEAR_ROWS).alias("__parts"))
+    groups = stage(groups.withColumn("__gid", F.monotonically_increasing_id()), "groups")
+    portion = F.pmod(F.xxhash64("gene1", "gene2"), F.col("__parts"))
+    rows = pairs.join(groups, spot, "left").withColumn("__salt", F.coalesce(portion, F.lit(0))).withColumn("__kind", F.lit(1))
+    a = anchor.filter("pos1 is not null and pos2 is not null").select(*spot, "pos1", "pos2").distinct().join(groups, spot)
+    a = a.select("__gid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts") - 1)).alias("__salt"), F.lit(0).alias("__kind"), "pos1", "pos2")
+    # rows of a known group leave its texts behind; the few others have no anchor
+    sent = [f for f in pairs.schema.fields if f.name not in spot]
+    both = rows.filter("__gid is not null").select(*(f.name for f in sent), "__gid", "__salt", "__kind").unionByName(a, allowMissingColumns=True)
+    both = both.repartition("__gid", "__salt").sortWithinPartitions("__gid", "__salt", "__kind")
+    whole = all(isinstance(pairs.schema[c].dataType, T.IntegralType) for c in ("pos1", "pos2"))
+    kind = T.LongType() if whole else T.DoubleType()
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in sent), T.StructField("__gid", T.LongType()), T.StructField("dist", kind)])
+    out = both.mapInArrow(_near_rows(omit_zero, whole), schema).join(groups.drop("__parts"), "__gid").select(*pairs.columns, "dist")
+    return out.unionByName(pairs.filter("chr1 is null or chr2 is null").withColumn("dist", F.lit(None).cast(kind)))
 
 
 def syntenic_hits(pairs: DataFrame, anchor: DataFrame) -> DataFrame:
@@ -82,9 +176,10 @@ def syntenic_hits(pairs: DataFrame, anchor: DataFrame) -> DataFrame:
     anchors' distances to each other."""
     anchor = stage(anchor, "anchors")
     own = nearest_anchor(anchor, anchor, omit_zero=True)
-    limit = fences(own.filter("dist is not null"), PAIR, "dist")
+    limit = stage(fences(own.filter("dist is not null"), PAIR, "dist"), "limit")
     flag = anchor.select(*PAIR, "gene1", "gene2", F.lit(True).alias("is_anchor_pair"))
-    rows = nearest_anchor(pairs, anchor).join(flag, [*PAIR, "gene1", "gene2"], "left").join(limit, PAIR, "left")
+    # distances are computed once and cut down before they meet the anchors
+    rows = nearest_anchor(pairs, anchor).join(limit, PAIR, "left").join(flag, [*PAIR, "gene1", "gene2"], "left")
     rows = rows.withColumn("is_anchor_pair", F.coalesce("is_anchor_pair", F.lit(False)))
     return rows.filter("dist < fence_high or is_anchor_pair").drop("fence_low", "fence_high")
 
@@ -93,30 +188,31 @@ def pair_class(pairs: DataFrame) -> DataFrame:
     """pairs with class: 1to1, 1toM, Mto1 or MtoM of the component, told from neighbours alone: a component
     is a star round gene1 if all of gene1's partners have no other."""
     w1, w2 = Window.partitionBy(*PAIR, "gene1"), Window.partitionBy(*PAIR, "gene2")
-    rows = pairs.withColumn("d1", F.count(F.lit(1)).over(w1)).withColumn("d2", F.count(F.lit(1)).over(w2))
-    rows = rows.withColumn("m2", F.max("d2").over(w1)).withColumn("m1", F.max("d1").over(w2))
+    rows = pairs.withColumn("d1", F.count(F.lit(1)).over(w1)).withColumn("d2", F.count(F.lit(1)).over(w2)).withColumn("m1", F.max("d1").over(w2))
+    rows = rows.withColumn("m2", F.max("d2").over(w1))
     kind = F.when((F.col("d1") == 1) & (F.col("d2") == 1), "1to1").when((F.col("d2") > 1) & (F.col("m1") == 1), "Mto1").when((F.col("d1") > 1) & (F.col("m2") == 1), "1toM").otherwise("MtoM")
     return rows.withColumn("class", kind).drop("d1", "d2", "m1", "m2")
 
 
-def _node(genome: str, gene: str, side: str) -> Column:
+def _node(gene: str, side: str) -> Column:
     return F.concat_ws("|", "g1", "g2", F.lit(side), F.col(gene).cast("string"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
     """pairs with component: its smallest gene1 within the genome pair."""
     pairs = stage(pairs, "pairs")  # read for the edges and again for the result
-    edges = pairs.select(_node("g1", "gene1", "1").alias("src"), _node("g2", "gene2", "2").alias("dst"))
-    found = connected_components(edges)
-    rows = pairs.withColumn("node", _node("g1", "gene1", "1")).join(found, "node").drop("node")
-    least = rows.groupBy("component").agg(F.min("gene1").alias("__least"))
-    return rows.join(least, "component").drop("component").withColumnRenamed("__least", "component")
+    found = connected_components(pairs.select(_node("gene1", "1").alias("src"), _node("gene2", "2").alias("dst")))
+    label = pairs.select(*PAIR, "gene1").distinct().join(found, _node("gene1", "1") == F.col("node")).drop("node")
+    label = stage(label, "label")
+    least = label.groupBy("component").agg(F.min("gene1").alias("__least"))
+    label = label.join(least, "component").select(*PAIR, "gene1", F.col("__least").alias("component"))
+    return pairs.join(label, [*PAIR, "gene1"]).select(*pairs.columns, "component")
 
 
 def sog_ids(pairs: DataFrame) -> DataFrame:
     """pairs with class and SOG: components numbered from 1 in each genome pair, by smallest gene1. The
     numbers are ranked on one row for each component."""
-    rows = components(pair_class(pairs))
+    rows = stage(components(pair_class(pairs)), "classed")
     rank = F.row_number().over(Window.partitionBy(*PAIR).orderBy("component")).cast("long")
     ids = rows.select(*PAIR, "component").distinct().withColumn("SOG", rank)
     return rows.join(ids, [*PAIR, "component"]).drop("component")
@@ -146,10 +242,8 @@ def filter_pairs(pairs: DataFrame) -> DataFrame:
     best = rows.groupBy(*key).agg(
         F.max("ci_q2s").alias("b1"), F.max("ci_s2q").alias("b2"), F.max("pident").alias("b3"), F.max(F.when(~F.col("is_anchor_pair"), F.col("pident"))).alias("b4")
     )
-    limits = None
-    for k in ("b1", "b2", "b3", "b4"):
-        own = fences(best.filter(F.col(k).isNotNull()), PAIR, k, name=k).drop(f"{k}_high")
-        limits = own if limits is None else limits.join(own, PAIR, "left")
+    best = stage(best, "components")
+    limits = fences_of(best, PAIR, {k: k for k in ("b1", "b2", "b3", "b4")})
     rows = rows.join(best, key).join(limits, PAIR, "left")
     any_ = "(b1 >= b1_low or b2 >= b2_low or b3 >= b3_low)"
     return rows.filter(f"{any_} and (is_anchor_pair or b4 >= b4_low)").select(*pairs.columns, "class", "SOG")
