@@ -6,7 +6,7 @@ in lineitem. Each function has its SQL twin for the oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GENOMES = ["C", "P", "S"]
@@ -27,19 +27,25 @@ def genes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pair table of all three genome pairs: quantities are whole, so sums are exact."""
-    item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"))
-    both = item.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), item.l_orderkey == F.col("o_orderkey"))
-    sides = F.array(
-        F.struct(F.lit("P").alias("g1"), F.lit("S").alias("g2"), F.col("l_partkey").alias("gene1"), F.col("l_suppkey").alias("gene2")),
-        F.struct(F.lit("C").alias("g1"), F.lit("S").alias("g2"), F.col("o_custkey").alias("gene1"), F.col("l_suppkey").alias("gene2")),
-        F.struct(F.lit("C").alias("g1"), F.lit("P").alias("g2"), F.col("o_custkey").alias("gene1"), F.col("l_partkey").alias("gene2")),
-    )
-    w = both.select("q", F.explode(sides).alias("s")).select("s.*", "q").groupBy("g1", "g2", "gene1", "gene2").agg(F.sum("q").alias("w"))
-    t1 = F.sum("w").over(Window.partitionBy("g1", "g2", "gene1")).cast("double")
-    t2 = F.sum("w").over(Window.partitionBy("g1", "g2", "gene2")).cast("double")
-    w = w.withColumn("ci_q2s", F.col("w") / t1).withColumn("ci_s2q", F.col("w") / t2)
-    return w.select("g1", "g2", "gene1", "gene2", "ci_q2s", "ci_s2q", (50 + F.col("w") % 50).cast("double").alias("pident"), (F.col("ci_q2s") * F.col("ci_s2q")).alias("mutual_ci"))
+    """The pair table of all three genome pairs: quantities are whole, so sums are exact. Grouping sets on the
+    numeric keys give all pairs in one pass, and the genes' totals, a far smaller table, in another."""
+    item = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("P"), F.col("l_suppkey").alias("S"), F.col("l_quantity").cast("long").alias("q"))
+    line = item.join(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("C")), item.l_orderkey == F.col("o_orderkey")).select("C", "P", "S", "q")
+    cols = ["C", "P", "S"]
+    w = line.groupingSets([["C", "P"], ["C", "S"], ["P", "S"]], *cols).agg(F.sum("q").alias("w"), F.grouping_id().alias("out"))
+    # the bit of the genome that a pair leaves out: C is 4, P is 2, S is 1
+    first, second = F.when(F.col("out") == 4, F.col("P")).otherwise(F.col("C")), F.when(F.col("out") == 1, F.col("P")).otherwise(F.col("S"))
+    w = w.select("out", first.alias("gene1"), second.alias("gene2"), "w")
+    total = line.groupingSets([["C"], ["P"], ["S"]], *cols).agg(F.sum("q").alias("t"), F.grouping_id().alias("kept"))
+    total = total.select((7 - F.col("kept")).cast("int").alias("genome"), F.coalesce(*cols).alias("gene"), F.col("t").cast("double").alias("t"))
+    for k, code in ((1, F.when(F.col("out") == 4, 2).otherwise(4)), (2, F.when(F.col("out") == 1, 2).otherwise(1))):
+        w = w.withColumn("genome", code.cast("int")).join(total.select("genome", F.col("gene").alias(f"gene{k}"), F.col("t").alias(f"t{k}")), ["genome", f"gene{k}"])
+    name = lambda code: F.when(code == 4, "C").when(code == 2, "P").otherwise("S")
+    w = w.withColumn("ci_q2s", F.col("w") / F.col("t1")).withColumn("ci_s2q", F.col("w") / F.col("t2"))
+    return w.select(
+        name(F.when(F.col("out") == 4, 2).otherwise(4)).alias("g1"), name(F.when(F.col("out") == 1, 2).otherwise(1)).alias("g2"), "gene1", "gene2", "ci_q2s", "ci_s2q",
+        (50 + F.col("w") % 50).cast("double").alias("pident"), (F.col("ci_q2s") * F.col("ci_s2q")).alias("mutual_ci"),
+    )
 
 
 def placed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

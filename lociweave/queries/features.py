@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences as S
 from ..operators import annotation, compare, intervals, models, pairing, synteny
 from ..plans import adapters as A
+from ..plans.staging import stage
 from .pairs import PLACED_ANCHOR
 
 
@@ -79,8 +80,8 @@ def flanking_anchors(spark, sf):
 
 
 def _anchored(spark, sf):
-    p = A.placed_pairs(spark, sf)
-    return p, pairing.anchors(p)
+    p = stage(A.placed_pairs(spark, sf), "placed")
+    return p, stage(pairing.anchors(p), "anchors")
 
 
 def syntenic_join(spark, sf):

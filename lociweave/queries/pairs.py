@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import sig6
 from ..operators import graph, hits, orthogroups, pairing, synteny
 from ..plans import adapters as A
+from ..plans.staging import stage
 
 R = 6
 
@@ -45,13 +46,17 @@ def anchors(spark, sf):
     return pairing.anchors(A.pair_scores(spark, sf))
 
 
+def _placed(spark, sf):
+    return stage(A.placed_pairs(spark, sf), "placed")  # read for the anchors and again
+
+
 def nearest_anchor(spark, sf):
-    p = A.placed_pairs(spark, sf)
+    p = _placed(spark, sf)
     return pairing.nearest_anchor(p, pairing.anchors(p)).select(*COLS, "dist")
 
 
 def distance_fence(spark, sf):
-    a = pairing.anchors(A.placed_pairs(spark, sf))
+    a = stage(pairing.anchors(A.placed_pairs(spark, sf)), "anchors")
     own = pairing.nearest_anchor(a, a, omit_zero=True).filter("dist is not null")
     from ..functions.stats import fences
 
@@ -59,7 +64,7 @@ def distance_fence(spark, sf):
 
 
 def _syntenic(spark, sf):
-    p = A.placed_pairs(spark, sf)
+    p = _placed(spark, sf)
     return pairing.syntenic_hits(p, pairing.anchors(p))
 
 
