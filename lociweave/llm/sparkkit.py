@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import drop_staged, release, shared_dir, stage  # noqa: F401
+from ..plans.staging import drop_staged, shared_dir, stage  # noqa: F401
 
 #: A null doc_id is ordered after every other id.
 NULL_ID = (1 << 63) - 1
