@@ -7,22 +7,24 @@ bound leaves are verified on the sets.
 
 Where one tree holds all points of a task, the tasks are made as follows, without losing a pair:
 
-1. equal sets are one class (by two hashes and the size); only classes go on;
-2. sets of sizes up to h that are to be linked differ in at most d tokens, so of d+1+t groups at least
-   t+1 are equal in content. Each class emits its groups' contents (a 64-bit name) at its own level of
-   sizes and the next; classes that share one may be linked. A class leaves out its empty groups unless
-   it has over t of them. Contents go on once a run of documents and are sorted; from each class an
-   edge to the smallest of its content is kept. So candidates form connected components: outside them
-   no link is possible;
-3. where shared passages chain texts into a component of over `BLOCK` classes, its contents are counted.
-   With more spare groups (t = d / `SPARE_LARGE`), each class leaves out its t most frequent contents:
-   in one order of all contents, rarest first, the smallest content that two linked sets share is among
-   the first d+1 of either, so no link is lost. What is left makes smaller components;
+1. equal sets are one class, named by 64 bits; only classes go on;
+2. a set of n tokens shares at least ceil(t * n) of them with any that it is linked with. So of its
+   n - ceil(t * n) + s + 1 first tokens in the order of their names at least s + 1 are shared and are
+   also among the first of the other. Each class emits these, with s for the size of its largest partner, and
+   leaves out the s (for its own size) most frequent, by one order of all tokens: the rarest of the s + 1
+   stays on both sides. Classes that share a token then may be linked; from each an edge to the smallest
+   of the token is kept. So candidates form connected components: outside them no link is possible.
+   Passages that documents share are what is left out, so components are small;
+3. a component of over `BLOCK` classes is taken apart once more, with a larger s (`SPARE_LARGE`);
 4. a component is dealt to blocks of about `BLOCK` classes, with its `PIVOTS` first classes in each. A
    task joins a block by R-tree; pairs that are connected already need no verifying;
 5. where the blocks of a component are not connected by then, pairs of its blocks are joined too, as far
    as their ranges of sizes allow a link.
 
+Tokens frequent in a sample of documents (`heavy_tokens`, a bounded list) are the most frequent of the order. A
+class leaves them out first, where it emits; of those that stay a run of documents sends one row each, and an edge
+for every other class. So no token gathers all documents that have it in one task.
+
 Verified links and equal classes give components again, and each document its smallest doc_id.
 
 Defined cases: null texts and texts without words are empty and linked with nothing, also among each
@@ -87,10 +89,10 @@ def _sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def class_names(token: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each set."""
+def class_names(token: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A hash of each set."""
     size = np.diff(off).astype(U)
-    return tuple(mix(_sums(mix(token ^ U(s)), off) + size) for s in (0x51ED270B, 0x2545F491))
+    return mix(_sums(mix(token ^ U(0x51ED270B)), off) + size)
 
 
 def levels(percent: int, top: int) -> list[tuple[int, int]]:
@@ -107,99 +109,132 @@ def levels(percent: int, top: int) -> list[tuple[int, int]]:
     return out
 
 
-#: Spare groups, beyond those that the pigeonholes need: 1 and one for each so many; few sets then have
-#: to send empty ones.
-SPARE = 16
-SPARE_LARGE = 4
-#: Contents that a worker holds before they go on: 16 bytes each, and as much again while they are sorted.
+#: Spare tokens: one for each so many of a set, and for classes of large components.
+SPARE = 10
+SPARE_LARGE = 2
+#: Documents of the sample that frequent tokens are told by, and in how many of them a token is frequent: there
+#: are at most SAMPLED / OFTEN times as many as a document emits.
+SAMPLED = 100_000
+SAMPLE = 64
+OFTEN = 16
+#: Frequent tokens that a worker holds before they go on.
 HELD = 500_000
 
 
-def group_keys(token, off, table: list[tuple[int, int]], spare: int = SPARE):
-    """(document, key, left, step) of every group content that a document must send at its own level of sizes
-    (step 0) and the next (1); of a document's contents at one step, any `left` may still go, if all
-    documents choose them by one order of contents."""
-    size = np.diff(off)
-    low = np.array([x[0] for x in table])
-    level = np.searchsorted(low, size, side="right") - 1
-    docs_out, keys_out, left_out, step_out = [], [], [], []
-    for step in (0, 1):
-        lv = level + step
-        ok = (size > 0) & (lv < len(table))
-        parts = np.zeros(len(size), np.int64)
-        differ = np.array([x[1] for x in table])[np.where(ok, lv, 0)]
-        extra = 1 + differ // spare
-        parts[ok] = (differ + 1 + extra)[ok]
-        start = np.cumsum(parts) - parts
-        keep = np.repeat(ok, size)
-        owner = np.repeat(np.arange(len(size)), size)[keep]
-        tk = token[keep]
-        slot = start[owner] + ((mix(tk ^ U(0xA0761D6478BD642F)) >> U(32)) * parts[owner].astype(U) >> U(32)).astype(np.int64)
-        n = int(parts.sum())
-        content = np.zeros(n, U)
-        np.add.at(content, slot, mix(tk ^ U(0xE7037ED1A0B428DB)))
-        filled = np.bincount(slot, minlength=n) > 0
-        doc = np.repeat(np.arange(len(size)), parts)
-        empty = np.bincount(doc[~filled], minlength=len(size))
-        send = filled | (empty > extra)[doc]
-        name = mix(content + mix((lv[doc].astype(U) << U(32)) + runs(parts).astype(U)))
-        docs_out.append(doc[send])
-        keys_out.append(name[send])
-        left_out.append(np.where(empty > extra, 0, extra - empty)[doc[send]])
-        step_out.append(np.full(len(docs_out[-1]), step))
-    return tuple(np.concatenate(x) for x in (docs_out, keys_out, left_out, step_out))
-
-
-def _emit_classes(shingle):
+def _heads(token, off, percent: int, spare: int):
+    """(places, documents, number to leave out of each document): the tokens that each document emits."""
+    n = np.diff(off)
+    partner = n * 100 // percent  # of a linked set's size
+    count = np.minimum(n, n - (n * percent + 99) // 100 + partner // spare + 1)
+    at = np.repeat(off[:-1] - off[0], count) + runs(count)
+    return at, np.repeat(np.arange(len(n)), count), n // spare
+
+
+def head_tokens(token, off, percent: int, heavy: np.ndarray, often: np.ndarray, spare: int = SPARE):
+    """(document, token, is it heavy) of what each document emits, and how many more of its most frequent tokens
+    it may leave out. token: ascending in each document; heavy (ascending): frequent tokens, often: how frequent
+    they are. Heavy ones are left out first, the most frequent before others."""
+    at, doc, left = _heads(token, off, percent, spare)
+    tk = token[at]
+    if not len(heavy) or not len(tk):
+        return doc, tk, np.zeros(len(tk), bool), left
+    place = np.minimum(np.searchsorted(heavy, tk), len(heavy) - 1)
+    hot = heavy[place] == tk
+    h = np.flatnonzero(hot)
+    order = h[np.lexsort((place[h], -often[place[h]], doc[h]))]
+    n = np.bincount(doc[h], minlength=len(left))
+    gone = order[runs(n) < left[doc[order]]]
+    stay = np.ones(len(tk), bool)
+    stay[gone] = False
+    return doc[stay], tk[stay], hot[stay], np.maximum(0, left - n)
+
+
+def _sets_of(batch, shingle):
+    """(rows i to j of the batch, their tokens and offsets); shingle None: sets are there as tokens."""
+    if shingle is None:
+        data, off = utf8(batch.column("tokens"))
+        for i, j in chunks(off):
+            yield i, j, np.frombuffer(data[off[i] : off[j]].tobytes(), U), (off[i : j + 1] - off[i]) // 8
+    else:
+        data, off = utf8(batch.column("text"))
+        for i, j in chunks(off):
+            yield i, j, *shingle_sets(data, off[i : j + 1], shingle)
+
+
+def _emit_sample(shingle, percent):
     def run(it):
         for batch in it:
-            data, off = utf8(batch.column("text"))
-            for i, j in chunks(off):
-                token, toff = shingle_sets(data, off[i : j + 1], shingle)
-                h1, h2 = class_names(token, toff)
+            for _, _, token, off in _sets_of(batch, shingle):
+                if len(token):
+                    at, _, _ = _heads(token, off, percent, SPARE_LARGE)
+                    yield pa.RecordBatch.from_arrays([pa.array(token[at].view(np.int64))], names=["key"])
+
+    return run
+
+
+def heavy_tokens(rows: DataFrame, shingle: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens ascending, how often): those in at least OFTEN documents of a sample of about SAMPLED."""
+    n = rows.count()
+    share = max(SAMPLE, n // SAMPLED)
+    if n < share * OFTEN:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    sample = rows.filter(F.pmod(F.xxhash64("oid", "tag"), F.lit(share)) == 0)
+    found = sample.mapInArrow(_emit_sample(shingle, percent), "key long").groupBy("key").count().filter(F.col("count") >= OFTEN).toArrow()
+    key, often = found.column("key").to_numpy().view(U), found.column("count").to_numpy()
+    order = np.argsort(key)
+    return key[order], often[order]
+
+
+def _emit_classes(shingle, percent, heavy):
+    def run(it):
+        for batch in it:
+            for i, j, token, off in _sets_of(batch, shingle):
+                left = head_tokens(token, off, percent, *heavy.value)[3]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(i, j - i) for c in ("doc_id", "oid", "tag")), pa.array(np.diff(toff)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
-                    names=["doc_id", "oid", "tag", "n", "node", "check"],
+                    [*(batch.column(c).slice(i, j - i) for c in ("doc_id", "oid", "tag")), pa.array(np.diff(off)), pa.array(class_names(token, off).view(np.int64)), pa.array(left)],
+                    names=["doc_id", "oid", "tag", "n", "node", "left"],
                 )
 
     return run
 
 
-def _emit_keys(shingle, table):
-    """(key, node, dst): the first class of each content in a run of documents; for the others at once
-    an edge node-dst to it, so that a content goes on once a run however many have it."""
+def _emit_keys(shingle, percent, heavy, spare):
+    """(key, node): the tokens that each class emits. Heavy ones go on once a run of documents, with its first
+    class; an edge of the others to it is a key of its own that the two have."""
+
+    def rows(key, node):
+        for a in range(0, len(key), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 100_000].view(np.int64)), pa.array(node[a : a + 100_000])], names=["key", "node"])
 
     def combined(keys, nodes):
-        key, node = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
+        key, node = np.concatenate(keys), np.concatenate(nodes)
         order = np.lexsort((node, key))
         key, node = key[order], node[order]
         head = np.concatenate([[True], key[1:] != key[:-1]])
         least = node[np.flatnonzero(head)][np.cumsum(head) - 1]
+        yield from rows(key[head], node[head])
         edge = np.unique(np.stack([node[node != least], least[node != least]], 1), axis=0)
-        key, node = key[head], node[head]
-        for a in range(0, len(key), 100_000):
-            part = slice(a, a + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(node[part]), pa.nulls(len(key[part]), pa.int64())], names=["key", "node", "dst"])
         if len(edge):
-            yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 0]), pa.array(edge[:, 1])], names=["key", "node", "dst"])
+            name = mix(mix(edge[:, 0].view(U) ^ U(0xA0761D6478BD642F)) + edge[:, 1].view(U))
+            yield from rows(np.concatenate([name, name]), np.concatenate([edge[:, 0], edge[:, 1]]))
 
     def run(it):
         keys, nodes, held = [], [], 0
         for batch in it:
-            data, off = utf8(batch.column("text"))
-            for i, j in chunks(off):
-                token, toff = shingle_sets(data, off[i : j + 1], shingle)
+            for i, j, token, off in _sets_of(batch, shingle):
                 if not len(token):
                     continue
-                node = class_names(token, toff)[0].view(np.int64)
+                node = batch.column("node").to_numpy()[i:j] if shingle is None else class_names(token, off).view(np.int64)
                 _, first = np.unique(node, return_index=True)  # copies in a chunk send once
                 once = np.zeros(len(node), bool)
                 once[first] = True
-                doc, key, _, _ = group_keys(token, toff, table)
+                doc, key, hot, _ = head_tokens(token, off, percent, *heavy.value, spare)
                 own = once[doc]
-                keys.append(key[own])
-                nodes.append(node[doc[own]])
-                held += len(keys[-1])
+                yield from rows(key[own & ~hot], node[doc[own & ~hot]])
+                if (own & hot).any():
+                    keys.append(key[own & hot])
+                    nodes.append(node[doc[own & hot]])
+                    held += len(keys[-1])
                 if held > HELD:
                     yield from combined(keys, nodes)
                     keys, nodes, held = [], [], 0
@@ -209,27 +244,27 @@ def _emit_keys(shingle, table):
     return run
 
 
-def _stars(it):
-    """Rows sorted by (key, node): edges from every other class of a content to its smallest, and those
-    that were edges before."""
-    last = None  # (key, smallest node)
-    for batch in it:
-        dst = batch.column("dst")
-        ready = np.asarray(dst.is_valid())
-        key, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node"))
-        out = [(node[ready], dst.drop_null().to_numpy(zero_copy_only=False))]
-        key, node = key[~ready], node[~ready]
-        if len(key):
-            head = np.concatenate([[True], key[1:] != key[:-1]])
-            least = node[np.flatnonzero(head)][np.cumsum(head) - 1]
-            if last is not None and key[0] == last[0]:
-                rest = head[1:]
-                least[: int(np.argmax(rest)) + 1 if rest.any() else len(head)] = last[1]
-            last = (key[-1], least[-1])
-            out.append((node[node != least], least[node != least]))
-        src, to = (np.concatenate([x[c] for x in out]) for c in (0, 1))
-        if len(src):
-            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(to)], names=["src", "dst"])
+def candidates(keys: DataFrame, left: DataFrame) -> DataFrame:
+    """(node, part): connected components of the classes that share a token that both keep. keys: key, node;
+    left: node, left, one row a class."""
+    # one shuffle: how often a token is emitted, and whether by more than one class
+    w = Window.partitionBy("key")
+    shared = keys.withColumns({"often": F.count(F.lit(1)).over(w), "a": F.min("node").over(w), "b": F.max("node").over(w)}).filter("a < b").select("key", "node", "often")
+    rank = F.dense_rank().over(Window.partitionBy("node").orderBy(F.desc("often"), "key"))
+    kept = shared.join(left, "node").withColumn("r", rank).filter("r > left").select("key", "node")
+    kept = stage(kept, "kept")
+    least = kept.groupBy("key").agg(F.min("node").alias("dst"))
+    edges = kept.join(least, "key").filter("node <> dst").select(F.col("node").alias("src"), "dst").distinct()
+    return connected_components(edges).select("node", F.col("component").alias("part"))
+
+
+def _left_of(heavy, percent, spare):
+    def run(it):
+        for batch in it:
+            for i, j, token, off in _sets_of(batch, None):
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, j - i), pa.array(head_tokens(token, off, percent, *heavy.value, spare)[3])], names=["node", "left"])
+
+    return run
 
 
 def _emit_sets(shingle):
@@ -246,35 +281,6 @@ def _emit_sets(shingle):
     return run
 
 
-def _emit_contents(table, spare):
-    """(key, node, step, left) of sets; step tells a class's two levels apart."""
-
-    def run(it):
-        for batch in it:
-            node = batch.column("node").to_numpy()
-            data, off = utf8(batch.column("tokens"))
-            for i, j in chunks(off):
-                token = np.frombuffer(data[off[i] : off[j]].tobytes(), U)
-                doc, key, left, step = group_keys(token, (off[i : j + 1] - off[i]) // 8, table, spare)
-                for a in range(0, len(doc), 100_000):
-                    part = slice(a, a + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(node[i:j][doc[part]]), pa.array(step[part], pa.int32()), pa.array(left[part], pa.int32())], names=["key", "node", "step", "left"])
-
-    return run
-
-
-def refined(sets: DataFrame, table: list[tuple[int, int]], spare: int = SPARE_LARGE) -> DataFrame:
-    """(node, part) of the sets that may be linked with another, by contents that are not frequent."""
-    keys = sets.select("node", "tokens").mapInArrow(_emit_contents(table, spare), "key long, node long, step int, left int")
-    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    # contents that one class has alone are the rarest; the rest of a class's are at most its shingles
-    rank = F.row_number().over(Window.partitionBy("node", "step").orderBy(F.desc("often"), "key"))
-    kept = stage(keys.join(often, "key").withColumn("r", rank).filter("r > left").select("key", "node"), "kept")
-    least = kept.groupBy("key").agg(F.min("node").alias("dst"))
-    edges = kept.join(least, "key").filter("node <> dst").select(F.col("node").alias("src"), "dst").distinct()
-    return connected_components(edges).select("node", F.col("component").alias("part"))
-
-
 #: Bits of the filter that spares other documents a shuffle: 8 MB, whatever the corpus.
 BITS = 1 << 26
 
@@ -414,12 +420,11 @@ def classes_and_links(docs: DataFrame, shingle: int, percent: int, block: int =
     """(rows with doc_id, oid, tag, n, node; links src, dst between nodes). Links connect exactly what
     is connected; not every linked pair has its own row."""
     rows = keyed(docs)
-    classes = stage(rows.mapInArrow(_emit_classes(shingle), "doc_id long, oid long, tag long, n long, node long, check long"), "classes")
-    top = classes.agg(F.max("n")).first()[0] or 0
-    table = levels(percent, int(top))
-    keys = rows.mapInArrow(_emit_keys(shingle, table), "key long, node long, dst long")
-    maybe = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "src long, dst long").distinct()
-    parts = stage(connected_components(stage(maybe, "maybe")).select("node", F.col("component").alias("part")), "parts")
+    heavy = docs.sparkSession.sparkContext.broadcast(heavy_tokens(rows, shingle, percent))
+    classes = stage(rows.mapInArrow(_emit_classes(shingle, percent, heavy), "doc_id long, oid long, tag long, n long, node long, left long"), "classes")
+    table = levels(percent, int(classes.agg(F.max("n")).first()[0] or 0))
+    keys = rows.mapInArrow(_emit_keys(shingle, percent, heavy, SPARE), "key long, node long")
+    parts = stage(candidates(keys, classes.filter("n > 0").groupBy("node").agg(F.min("left").alias("left"))), "parts")
     # one document of each class in a part, with its set
     first = classes.join(parts, "node").groupBy("part", "node").agg(F.min(F.struct("oid", "tag")).alias("k")).select("part", "node", "k.oid", "k.tag")
     first = stage(first, "first")
@@ -428,7 +433,9 @@ def classes_and_links(docs: DataFrame, shingle: int, percent: int, block: int =
     place = sets.select("part", "oid", "node")
     large = stage(place.groupBy("part").count().filter(F.col("count") > block).select("part"), "large")
     if not large.isEmpty():
-        found = stage(refined(sets.join(large, "part"), table), "found")
+        chosen = stage(sets.join(large, "part").select("node", "tokens"), "chosen")
+        left = chosen.mapInArrow(_left_of(heavy, percent, SPARE_LARGE), "node long, left long")
+        found = stage(candidates(chosen.mapInArrow(_emit_keys(None, percent, heavy, SPARE_LARGE), "key long, node long"), left), "found")
         again = place.join(large, "part").drop("part").join(found, "node").select("part", "oid", "node")
         place = stage(place.join(large, "part", "left_anti").unionByName(again), "place")
     blocks = place.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))

@@ -108,12 +108,27 @@ def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACES,
     return start, end, doc
 
 
+#: A random value for each byte at each of the first places of a word.
+PLACES = 64
+_PLACED = np.random.default_rng(20240301).integers(0, 1 << 63, PLACES * 256, dtype=np.uint64) * U(2) + U(1)
+
+
 def word_names(data: np.ndarray, offsets: np.ndarray, lower: bool = False, separator: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(name, start, end, doc) of each word."""
+    """(name, start, end, doc) of each word: the mixed sum of random values of its bytes at their places, which no
+    pattern of letters cancels, however long the word."""
     start, end, doc = words(data, offsets, separator)
-    part = data[int(offsets[0]) : int(offsets[-1])]
-    values = BYTE_VALUE[LOWER[part] if lower else part]
-    return Prefix(values).spans(start, end), start, end, doc
+    size = end - start
+    at = runs(size)
+    part = data[int(offsets[0]) : int(offsets[-1])][np.repeat(start, size) + at]
+    part = (LOWER[part] if lower else part).astype(np.int64)
+    value = _PLACED[(np.minimum(at, PLACES - 1) << 8) | part]
+    far = np.flatnonzero(at >= PLACES)
+    if len(far):
+        value[far] = mix((at[far].astype(U) << U(8) | part[far].astype(U)) ^ U(0x8EBC6AF09C88C6E3))
+    total = np.zeros(len(value) + 1, U)
+    np.cumsum(value, out=total[1:])
+    first = np.cumsum(size) - size
+    return mix(total[first + size] - total[first] + size.astype(U)), start, end, doc
 
 
 def slide(x: np.ndarray, w: int, op: np.ufunc) -> np.ndarray:

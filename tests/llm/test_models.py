@@ -212,3 +212,29 @@ def test_r_tree_bound_loses_no_link():
     for k, s in enumerate(sets):
         near = set(tree.near(tree.point[k], len(s), 80).tolist())
         assert {o for o, t in enumerate(sets) if j8.linked(s, t, 80)} <= near
+
+
+@pytest.mark.parametrize("percent", [70, 80, 90])
+@pytest.mark.parametrize("spare", [2, 10])
+def test_kept_heads_of_linked_sets_meet(percent, spare):
+    """Whatever the frequencies and whichever tokens are heavy, linked sets keep a common token."""
+    r = np.random.default_rng(percent + spare)
+    universe = r.integers(0, 1 << 63, 400, dtype=np.uint64)
+    for _ in range(30):
+        base = [r.choice(universe, n, replace=False) for n in (1, 2, 4, 9, 20, 60, 150)]
+        sets = [np.unique(np.concatenate([b[r.random(len(b)) > r.choice([0, 0.03, 0.1])], r.choice(universe, r.integers(0, 1 + len(b) // 12))])) for b in base for _ in range(12)]
+        sets = [s for s in sets if len(s)]
+        off = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        heavy = np.unique(r.choice(universe, r.integers(0, 200)))
+        often = r.integers(16, 40, len(heavy))
+        doc, key, hot, left = j8.head_tokens(np.concatenate(sets), off, percent, heavy, often, spare)
+        count = dict(zip(*np.unique(key, return_counts=True)))
+        kept = []
+        for k in range(len(sets)):
+            own, is_hot = key[doc == k], hot[doc == k]
+            plain = sorted(own[~is_hot], key=lambda x: (-count[x], x))[left[k] :]
+            kept.append(set(plain) | set(own[is_hot]))
+        for a in range(len(sets)):
+            for b in range(a):
+                if j8.linked(sets[a], sets[b], percent):
+                    assert kept[a] & kept[b], (len(sets[a]), len(sets[b]))
