@@ -42,12 +42,16 @@ def staged() -> int:
     return len(_made)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark can write."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_staged(spark: SparkSession, keep: int = 0) -> None:
     """Deletes this process's staged tables but the first `keep`; call it once results are written."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while len(_made) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop()[1])
-        path.getFileSystem(conf).delete(path, True)
+        remove(spark, _made.pop()[1])
 
 
 @atexit.register
