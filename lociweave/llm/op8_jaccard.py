@@ -15,11 +15,11 @@ Where one tree holds all points of a task, the tasks are made as follows, withou
    stays on both sides. Classes that share a token then may be linked; from each an edge to the smallest
    of the token is kept. So candidates form connected components: outside them no link is possible.
    Passages that documents share are what is left out, so components are small;
-3. a component of over `BLOCK` classes is taken apart once more, with a larger s (`SPARE_LARGE`);
-4. a component is dealt to blocks of about `BLOCK` classes, with its `PIVOTS` first classes in each. A
+3. a component is dealt to blocks of about `BLOCK` classes, with its `PIVOTS` first classes in each. A
    task joins a block by R-tree; pairs that are connected already need no verifying;
-5. where the blocks of a component are not connected by then, pairs of its blocks are joined too, as far
-   as their ranges of sizes allow a link.
+4. where the blocks of a component are not connected by then, it is taken apart as in 2 with a larger s
+   (`SPARE_LARGE`), and pairs of the blocks of what remains are joined too, as far as their ranges of
+   sizes allow a link.
 
 Tokens frequent in a sample of documents (`heavy_tokens`, a bounded list) are the most frequent of the order. A
 class leaves them out first, where it emits; of those that stay a run of documents sends one row each, and an edge
@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
+from ..operators.graph import connected_components, roots
 from .sparkkit import NULL_ID, keyed, oid, stage, tag
 from .textkit import U, Prefix, chunks, mix, runs, utf8, word_names
 
@@ -213,10 +213,11 @@ def _emit_keys(shingle, percent, heavy, spare):
         head = np.concatenate([[True], key[1:] != key[:-1]])
         least = node[np.flatnonzero(head)][np.cumsum(head) - 1]
         yield from rows(key[head], node[head])
-        edge = np.unique(np.stack([node[node != least], least[node != least]], 1), axis=0)
-        if len(edge):
-            name = mix(mix(edge[:, 0].view(U) ^ U(0xA0761D6478BD642F)) + edge[:, 1].view(U))
-            yield from rows(np.concatenate([name, name]), np.concatenate([edge[:, 0], edge[:, 1]]))
+        # what hangs together in the run: one edge a class
+        own, root = roots(node, least)
+        own, root = own[own != root], root[own != root]
+        name = mix(mix(own.view(U) ^ U(0xA0761D6478BD642F)) + root.view(U))
+        yield from rows(np.concatenate([name, name]), np.concatenate([own, root]))
 
     def run(it):
         keys, nodes, held = [], [], 0
@@ -431,13 +432,6 @@ def classes_and_links(docs: DataFrame, shingle: int, percent: int, block: int =
     sets = only(rows, first).join(first, ["oid", "tag"]).select("part", "oid", "node", "text").dropDuplicates(["node"])
     sets = stage(sets.mapInArrow(_emit_sets(shingle), "part long, oid long, node long, tokens binary"), "sets")
     place = sets.select("part", "oid", "node")
-    large = stage(place.groupBy("part").count().filter(F.col("count") > block).select("part"), "large")
-    if not large.isEmpty():
-        chosen = stage(sets.join(large, "part").select("node", "tokens"), "chosen")
-        left = chosen.mapInArrow(_left_of(heavy, percent, SPARE_LARGE), "node long, left long")
-        found = stage(candidates(chosen.mapInArrow(_emit_keys(None, percent, heavy, SPARE_LARGE), "key long, node long"), left), "found")
-        again = place.join(large, "part").drop("part").join(found, "node").select("part", "oid", "node")
-        place = stage(place.join(large, "part", "left_anti").unionByName(again), "place")
     blocks = place.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     rank = F.row_number().over(Window.partitionBy("part").orderBy("oid", "node"))
     pivot = place.withColumn("r", rank).filter(F.col("r") <= pivots).select("node", F.lit(True).alias("pivot"))
@@ -453,13 +447,22 @@ def classes_and_links(docs: DataFrame, shingle: int, percent: int, block: int =
     state = dealt.filter("blocks > 1").join(connected_components(links), "node", "left").select("part", "node", F.coalesce("component", "node").alias("known"))
     state = stage(state.join(tokens.select("node", (F.length("tokens") / 8).cast("long").alias("n")), "node"), "state")
     still = state.groupBy("part").agg(F.min("known").alias("a"), F.max("known").alias("b")).filter("a < b").select("part")
+    if still.isEmpty():
+        return classes, links
+    # taken apart: what shares no rare token is not linked
+    state = stage(state.join(stage(still, "still"), "part").drop("part"), "state")
+    chosen = stage(tokens.join(state.select("node"), "node"), "chosen")
+    left = chosen.mapInArrow(_left_of(heavy, percent, SPARE_LARGE), "node long, left long")
+    found = candidates(chosen.mapInArrow(_emit_keys(None, percent, heavy, SPARE_LARGE), "key long, node long"), left)
+    state = stage(state.join(found, "node"), "state")
+    still = stage(state.groupBy("part").agg(F.min("known").alias("a"), F.max("known").alias("b")).filter("a < b").select("part"), "still")
     if still.isEmpty():
         return classes, links
     # dealt anew by sizes: linked sets are of one level or of neighbouring ones
     level = F.lit(0)
     for k, (low, _) in enumerate(table):
         level = F.when(F.col("n") >= low, F.lit(k)).otherwise(level)
-    state = state.join(stage(still, "still"), "part").withColumn("level", level)
+    state = state.join(still, "part").withColumn("level", level)
     many = state.groupBy("part", "level").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
     state = state.join(many, ["part", "level"]).withColumn("own", F.col("level") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("blocks"))).drop("blocks")
     state = stage(state, "state")
@@ -482,7 +485,8 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 80,
     comp = connected_components(links)
     # nodes outside links are components of their own
     least = least.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least")
-    smallest = least.groupBy("component").agg(F.min("least").alias("smallest"))
+    least = stage(least, "least")
+    smallest = stage(least.groupBy("component").agg(F.min("least").alias("smallest")), "smallest")
     label = stage(least.join(smallest, "component").select("node", "component", "smallest"), "label")
     out = classes.join(label, "node", "left")
     named = F.when(F.col("n") == 0, F.col("oid")).otherwise(F.col("smallest"))
