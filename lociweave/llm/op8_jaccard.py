@@ -111,7 +111,7 @@ def levels(percent: int, top: int) -> list[tuple[int, int]]:
 
 #: Spare tokens: one for each so many of a set, and for classes of large components.
 SPARE = 10
-SPARE_LARGE = 2
+SPARE_LARGE = 4
 #: Documents of the sample that frequent tokens are told by, and in how many of them a token is frequent: there
 #: are at most SAMPLED / OFTEN times as many as a document emits.
 SAMPLED = 100_000

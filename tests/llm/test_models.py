@@ -215,7 +215,7 @@ def test_r_tree_bound_loses_no_link():
 
 
 @pytest.mark.parametrize("percent", [70, 80, 90])
-@pytest.mark.parametrize("spare", [2, 10])
+@pytest.mark.parametrize("spare", [2, 4, 10])
 def test_kept_heads_of_linked_sets_meet(percent, spare):
     """Whatever the frequencies and whichever tokens are heavy, linked sets keep a common token."""
     r = np.random.default_rng(percent + spare)
