@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Codons that begin and end a coding sequence.
 START_CODON = "ATG"
 STOP_CODONS = ("TAA", "TGA", "TAG")
 
@@ -34,11 +35,11 @@ def protein_flags(seq: Column) -> dict[str, Column]:
 
 
 def chromosome_name(raw: Column, pad: int = 2, prefix: str = "chr") -> Column:
-    """chr01 from the first digits, else chr_ and the cleaned text."""
-    digits = F.regexp_extract(raw, "([0-9]+)", 1)
-    return F.when(digits != "", F.concat(F.lit(prefix), F.when(F.length(digits) < pad, F.lpad(digits, pad, "0")).otherwise(digits))).otherwise(
-        F.concat(F.lit(f"{prefix}_"), F.regexp_replace(F.lower(raw), "[^a-z0-9]+", "_"))
-    )
+    """chr01 from the first digits as a number, else chr_ and the cleaned text."""
+    raw = F.regexp_replace(raw, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    number = F.regexp_extract(raw, "([0-9]+)", 1).try_cast("int").cast("string")
+    padded = F.when(F.length(number) < pad, F.lpad(number, pad, "0")).otherwise(number)
+    return F.when(number.isNotNull(), F.concat(F.lit(prefix), padded)).otherwise(F.concat(F.lit(f"{prefix}_"), F.regexp_replace(F.lower(raw), "[^a-z0-9]+", "_")))
 
 
 def chromosome_order(name: Column) -> Column:

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FENCE = 1.5
 
 
+@F.pandas_udf(T.DoubleType())
+def _six(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: float(f"{v:.6g}"), na_action="ignore")
+
+
 def sig6(x: Column) -> Column:
-    return F.when(x.isNotNull(), F.format_string("%.6g", x).cast("double"))
+    """Six significant digits of the exact binary value, ties to even digits, as C prints them: the JVM's own
+    formatter rounds the shortest decimal text half up."""
+    return F.when(x.isNotNull(), _six(x.cast("double")))
 
 
 def fences(df: DataFrame, keys: list[str], value: str, k: float = FENCE, name: str = "fence") -> DataFrame:

@@ -99,6 +99,11 @@ def anchor_blocks(spark, sf):
     return rows.select("track", "pos", F.col("block").cast("long").alias("block"))
 
 
+def synteny_blocks(spark, sf):
+    rows = _track(spark, sf).withColumn("own", F.col("pos") - F.col("pos") % 3 + 1)
+    return synteny.synteny_blocks(rows, ["track"], ["pos"], "own").select("track", "pos", F.col("synteny_block").cast("long").alias("synteny_block"))
+
+
 def _ranges(spark, sf):
     t = A.table(spark, sf, "lineitem")
     return t.select(
@@ -227,5 +232,5 @@ held AS (SELECT h.tx, t2 FROM h JOIN n ON n.tx = h.tx AND k = n) SELECT tx AS tr
     "longest_per_locus": f"""WITH {FX}, m AS (SELECT tx, seqnames, min(s) AS s, min(e) AS e, CAST(sum(e - s) AS BIGINT) AS len FROM cds GROUP BY ALL), r AS (SELECT *, max(e) OVER (PARTITION BY seqnames ORDER BY s, e, tx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q FROM m),
 i AS (SELECT *, sum(CASE WHEN q IS NULL OR s > q THEN 1 ELSE 0 END) OVER (PARTITION BY seqnames ORDER BY s, e, tx ROWS UNBOUNDED PRECEDING) AS k FROM r) SELECT tx AS transcript_id, seqnames AS chr, len AS cds_len FROM (SELECT *, row_number() OVER (PARTITION BY seqnames, k ORDER BY len DESC, tx) AS n FROM i) WHERE n = 1""",
 }
-ROWS_ONLY = ("overlap_collapse", "plot_links", "promoter_windows", "align_summary")
+ROWS_ONLY = ("synteny_blocks", "overlap_collapse", "plot_links", "promoter_windows", "align_summary")
 QUERIES = {name: globals()[name] for name in (*SQL, *ROWS_ONLY)}

@@ -39,8 +39,9 @@ def gff3(spark: SparkSession, path: str, types: tuple[str, ...] = TYPES) -> Data
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """seq_id (the header's first word), seq."""
-    rows = spark.read.option("lineSep", ">").text(path).filter("trim(value) <> ''")
+    """seq_id (the header's first word), seq. A record begins with > at the start of a line; others belong to the
+    header."""
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>", "").alias("value")).filter("trim(value) <> ''")
     header = F.substring_index("value", "\n", 1)
     body = F.expr("substring(value, length(substring_index(value, '\n', 1)) + 2)")
     return rows.select(F.regexp_extract(header, r"^\s*(\S+)", 1).alias("seq_id"), F.regexp_replace(body, r"\s", "").alias("seq"))

@@ -61,6 +61,9 @@ def test_stats(spark):
     v = spark.createDataFrame([("k", float(x)) for x in (1, 2, 4, 8, 16)], "k string, v double")
     assert tuple(fences(v, ["k"], "v").first()) == ("k", 2 - 9.0, 8 + 9.0)
     assert v.select(sig6(F.lit(86.66666666)).alias("x")).first().x == 86.6667
+    for x, want in ((8.998185, 8.99818), (1234565.0, 1234560.0), (1234575.0, 1234580.0), (0.0, 0.0), (-2.5e-9, -2.5e-9)):
+        assert v.select(sig6(F.lit(x)).alias("x")).first().x == want
+    assert v.select(sig6(F.lit(None).cast("double")).alias("x")).first().x is None
 
 
 def test_phase(spark):
@@ -196,3 +199,9 @@ def test_islands(spark):
             reach = max(reach, e)
             want.append((s, e, n))
         assert sorted((x.start, x.end, x.island) for x in got if x.chr == c) == sorted(want)
+
+
+def test_chromosome_names(spark):
+    want = {"chr001": "chr01", " scaffold ": "chr_scaffold", "Brand#12": "chr12", "0": "chr00", "Sc 7x99": "chr07", "A--b": "chr_a_b", "99999999999": "chr_99999999999"}
+    df = spark.createDataFrame([(x,) for x in want], "x string")
+    assert {r.x: r.n for r in df.select("x", sequences.chromosome_name(F.col("x")).alias("n")).collect()} == want

@@ -10,7 +10,7 @@ def test_gff_and_fasta(spark, tmp_path):
     )
     rows = sorted(readers.gff3(spark, str(tmp_path / "a.gff")).collect(), key=lambda r: r.type)
     assert [(r.type, r.ID, r.Parent) for r in rows] == [("CDS", None, None), ("gene", "g;1", None), ("mRNA", "t2", ["g;1", "g2"])]
-    (tmp_path / "a.fa").write_text(">s1 about\nACGT\nAC\n\n>s2\nTT\n")
+    (tmp_path / "a.fa").write_text(">s1 A->B > about\nACGT\nAC\n\n>s2\nTT\n")
     seqs = readers.fasta(spark, str(tmp_path / "a.fa"))
     assert sorted(map(tuple, seqs.collect())) == [("s1", "ACGTAC"), ("s2", "TT")]
     sinks.write_fasta(seqs, str(tmp_path / "out"))
