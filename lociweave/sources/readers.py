@@ -69,3 +69,17 @@ def pair_table(spark: SparkSession, path: str) -> DataFrame:
         if old in rows.columns and new not in rows.columns:
             rows = rows.withColumnRenamed(old, new)
     return rows
+
+
+#: Columns of a table of reciprocal hits, without header.
+RECIPROCAL = "genome1_tx long, genome2_tx long, pident double, q2s_qcovs int, s2q_qcovs int, q2s_ci double, s2q_ci double, mutual_ci double"
+
+
+def reciprocal_table(spark: SparkSession, path: str) -> DataFrame:
+    """Reciprocal hits as tab-separated text without header."""
+    return spark.read.option("sep", "\t").schema(RECIPROCAL).csv(path)
+
+
+def names(spark: SparkSession, path: str) -> DataFrame:
+    """name: one a line, trimmed; empty lines go."""
+    return spark.read.text(path).select(F.trim("value").alias("name")).filter("name <> ''")

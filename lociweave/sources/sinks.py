@@ -30,3 +30,8 @@ def write_pairs(pairs: DataFrame, path: str) -> None:
 def write_graph(vertices: DataFrame, edges: DataFrame, path: str) -> None:
     vertices.write.parquet(f"{path}/vertices")
     edges.write.parquet(f"{path}/edges")
+
+
+def write_reciprocal(rbh: DataFrame, path: str) -> None:
+    """Tab-separated text without header, as `readers.reciprocal_table` reads it."""
+    rbh.write.option("sep", "\t").csv(path)
