@@ -90,6 +90,21 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def transcripts(spark: SparkSession) -> DataFrame:
+    """The segments' transcripts: three a gene in genome 1001 (every 11th is not annotated), one in 1002."""
+    rows = None
+    for genome, n, each, none in ((1001, 200, 3, 11), (1002, 20, 1, 1000)):
+        i = F.col("id")
+        gene = F.floor(i / each)
+        own = spark.range(n).filter(f"{genome} = 1002 or id % {none} <> 0").select(
+            F.lit(genome).cast("long").alias("genome_id"), F.concat(F.lit(f"{genome}.g"), gene.cast("string")).alias("gene_id"), F.concat(F.lit(f"{genome}.t"), i.cast("string")).alias("transcript_id"),
+            (genome * 1_000_000 + i).alias("tx_index"), (genome * 1_000_000 + gene).alias("gene_index"), (gene % 5).cast("string").alias("seqnames"),
+            (gene * 1000).alias("start"), (gene * 1000 + 600).alias("end"), F.when(gene % 2 == 0, "1").otherwise("2").alias("strand"),
+        )
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
+
+
 SEGMENTS_SQL = """
 base AS (SELECT 1001000000 + l_partkey % 200 AS a, 1002000000 + l_suppkey % 20 AS b, l_linenumber % 2 = 1 AS one, CAST(l_quantity AS BIGINT) AS n,
   date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) % 400 + 1 AS s, l_orderkey % 500 + 1 AS o, CAST(60 + l_partkey % 40 AS DOUBLE) AS pident FROM lineitem),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import sig6
 from ..operators import graph, hits, orthogroups, pairing, synteny
 from ..plans import adapters as A
+from ..plans import workflow
 from ..plans.staging import stage
 
 R = 6
@@ -346,5 +347,46 @@ x AS (SELECT DISTINCT 'P' AS genome, p || '.' || n AS tx, p || '.' || n || ':spl
 m AS (SELECT genome, o FROM x GROUP BY ALL HAVING count(DISTINCT gene) > 1) SELECT genome, tx, gene FROM x JOIN m USING (genome, o)""",
 }
 
-QUERIES = {name: globals()[name] for name in SQL}
+# workflow
+
+
+def _reciprocal(spark, sf):
+    from ..compat import Compat
+
+    rows = hits.reciprocal_hits(hits.normalize(A.segments(spark, sf)), Compat(sig6=False))
+    return rows.withColumns({c: F.round(c, 9) for c in ("pident", "q2s_ci", "s2q_ci", "mutual_ci")})
+
+
+def threshold_filter(spark, sf):
+    return workflow.valid_hits(_reciprocal(spark, sf), 0.1).select("genome1_tx", "genome2_tx", "mutual_ci")
+
+
+def tx_gene_map(spark, sf):
+    rows = workflow.gene_pairs(workflow.valid_hits(_reciprocal(spark, sf)), A.transcripts(spark))
+    return rows.select(*COLS, "tx1", "tx2", "mutual_ci", "chr1", "chr2", "pos1", "pos2")
+
+
+def ortholog_pairs(spark, sf):
+    """Customers and parts as transcripts, two neighbours a gene."""
+    base = F.when(F.col("genome") == "C", 1001).otherwise(1002) * 1_000_000
+    gene = F.floor(F.col("gene") / 2)
+    tx = A.genes(spark, sf).filter("genome in ('C', 'P')").select(
+        F.concat("genome", F.lit(".g"), gene.cast("string")).alias("gene_id"), F.concat("genome", F.lit(".t"), F.col("gene").cast("string")).alias("transcript_id"),
+        (base + F.col("gene")).alias("tx_index"), (base + gene).alias("gene_index"), F.col("chr").alias("seqnames"), F.col("gene").alias("start"), (F.col("gene") + 1).alias("end"), F.lit("1").alias("strand"),
+    )
+    rbh = A.pair_scores(spark, sf).filter("g1 = 'C' and g2 = 'P'")
+    rbh = rbh.select((F.col("gene1") + 1001 * 1_000_000).alias("genome1_tx"), (F.col("gene2") + 1002 * 1_000_000).alias("genome2_tx"), "pident", F.col("ci_q2s").alias("q2s_ci"), F.col("ci_s2q").alias("s2q_ci"), "mutual_ci")
+    return workflow.ortholog_pairs(rbh, tx)
+
+
+RECIPROCAL_SQL = SQL["reciprocal_hits"].replace("SELECT txA AS genome1_tx", ", rbh AS (SELECT txA AS genome1_tx") + ")"
+SQL |= {
+    "threshold_filter": f"{RECIPROCAL_SQL} SELECT genome1_tx, genome2_tx, mutual_ci FROM rbh WHERE mutual_ci >= 0.1",
+    "tx_gene_map": f"""{RECIPROCAL_SQL}, tr AS (SELECT CAST(1001000000 + i AS BIGINT) AS tx, CAST(1001000000 + i // 3 AS BIGINT) AS gene, CAST(i // 3 % 5 AS VARCHAR) AS chr FROM range(200) t(i) WHERE i % 11 <> 0
+UNION ALL SELECT 1002000000 + i, 1002000000 + i, CAST(i % 5 AS VARCHAR) FROM range(20) t(i)),
+m AS (SELECT a.gene AS gene1, b.gene AS gene2, a.tx AS tx1, b.tx AS tx2, mutual_ci, a.chr AS chr1, b.chr AS chr2 FROM rbh JOIN tr a ON a.tx = genome1_tx JOIN tr b ON b.tx = genome2_tx)
+SELECT CAST(1001 AS BIGINT) AS g1, CAST(1002 AS BIGINT) AS g2, * EXCLUDE (r), gene1 AS pos1, gene2 AS pos2 FROM (SELECT *, row_number() OVER (PARTITION BY gene1, gene2 ORDER BY mutual_ci DESC, tx1, tx2) AS r FROM m) WHERE r = 1""",
+}
+ROWS_ONLY = ("ortholog_pairs",)
+QUERIES = {name: globals()[name] for name in (*SQL, *ROWS_ONLY)}
 __all__ = ["QUERIES", "SQL", "graph", "synteny"]
