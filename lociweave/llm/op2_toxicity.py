@@ -121,8 +121,9 @@ def _rows(part):
 class Model:
     """Log-likelihood ratios of grams, and of contexts for grams that neither class has."""
 
-    def __init__(self, code: np.ndarray, c: np.ndarray, every: np.ndarray, tails: np.ndarray):
-        """code sorted; c[2, n] class counts; every: pooled counts; tails: distinct bytes seen before."""
+    def __init__(self, code: np.ndarray, c: np.ndarray, every: np.ndarray, tails: np.ndarray, shared: np.ndarray | None = None):
+        """code sorted; c[2, n] class counts; every: pooled counts; tails: distinct bytes seen before; shared[2, n]: total
+        and number of all the corpus's grams of the gram's context (by default of those given)."""
         k = (code >> U(56)).astype(int)
         body = code & U((1 << 48) - 1)
         n = len(code)
@@ -130,7 +131,9 @@ class Model:
         # newest byte is the lowest: context = body >> 8 with order k-1, suffix = body without the oldest byte
         context = (body >> U(8)) | ((k - 1).astype(U) << U(56))
         ctx, inv = np.unique(context, return_inverse=True)
-        shared_n, shared_t = np.bincount(inv, lower), np.bincount(inv)
+        if shared is None:
+            shared = np.stack([np.bincount(inv, lower)[inv], np.bincount(inv)[inv]])
+        shared_n, shared_t = shared.astype(float)
         p = np.full(n, 1.0 / 256)
         for order in range(1, ORDER + 1):
             at = np.flatnonzero(k == order)
@@ -139,7 +142,7 @@ class Model:
                 suffix = (body[at] & U((1 << 8 * (order - 1)) - 1)) | U((order - 1) << 56)
                 pos = np.minimum(np.searchsorted(code, suffix), n - 1)
                 back = np.where(code[pos] == suffix, p[pos], back)
-            p[at] = (np.maximum(lower[at] - DISCOUNT, 0) + DISCOUNT * shared_t[inv[at]] * back) / shared_n[inv[at]]
+            p[at] = (np.maximum(lower[at] - DISCOUNT, 0) + DISCOUNT * shared_t[at] * back) / shared_n[at]
         q, empty = [], []
         for own in c.astype(float):
             tot, types = np.bincount(inv, own), np.bincount(inv, own > 0)
@@ -264,11 +267,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit: int = F
     order = F.shiftright("code", 56)
     longer = grams.filter(order > 1).select((F.shiftleft(order - 1, 56)).bitwiseOR(F.col("code").bitwiseAND(F.expr("shiftleft(1L, cast(8 * (shiftright(code, 56) - 1) as int)) - 1"))).alias("code"))
     tails = longer.groupBy("code").agg(F.count(F.lit(1)).alias("tails"))
-    table = grams.filter("c0 + c1 > 0").join(tails, "code", "left").select("code", "c0", "c1", "every", F.coalesce("tails", F.lit(0)).alias("tails"))
+    grams = stage(grams.join(tails, "code", "left").withColumn("tails", F.coalesce("tails", F.lit(0))), "tails")
+    # a context's total and number of grams, over the whole corpus, whatever the labelled sample has of them
+    body = F.col("code").bitwiseAND(F.lit((1 << 48) - 1))
+    context = F.shiftright(body, 8).bitwiseOR(F.shiftleft(order - 1, 56)).alias("context")
+    lower = F.when(order == ORDER, F.col("every")).otherwise(F.greatest("tails", F.lit(1)))
+    totals = grams.groupBy(context).agg(F.sum(lower).alias("shared_n"), F.count(F.lit(1)).alias("shared_t"))
+    table = grams.filter("c0 + c1 > 0").withColumn("context", context).join(totals, "context").drop("context")
     got = table.toArrow()
     cols = {k: got.column(k).to_numpy() for k in got.column_names}
     o = np.argsort(cols["code"])
-    model = Model(cols["code"][o].view(U), np.stack([cols["c0"][o], cols["c1"][o]]), cols["every"][o], cols["tails"][o])
+    model = Model(cols["code"][o].view(U), np.stack([cols["c0"][o], cols["c1"][o]]), cols["every"][o], cols["tails"][o], np.stack([cols["shared_n"][o], cols["shared_t"][o]]))
     sent = spark.sparkContext.broadcast(model)
     fitted = text.join(F.broadcast(pick(known.filter("fold = 3"), fit)), "doc_id")
     seen = fitted.mapInArrow(_features(sent), "toxic int, x array<double>").toArrow()
