@@ -1,11 +1,13 @@
 """Secret scans: assignment-aware lexing.
 
-Three base patterns are always kept. Beyond them the text is read as source or configuration: each
-`name op literal` becomes a pair, where op is one of = : := => and a literal is quoted or bare, each of any
-length (quoted text of over 512 characters with blanks in it is prose, no literal: it scores 0). Names
+Three base patterns are always kept. Beyond them the text is read as source or configuration, each target with the
+literal that it is assigned: `name op literal` with = : := =>, typed declarations (`token: str =`, `var token string =`,
+`char token[] =`), subscripts, `set("token", ...)`, `#define`, XML elements, and `name`/`value` pairs as in environment
+lists. A literal is quoted (with escapes, also escaped itself), triple quoted, a YAML block, bare, or several strings
+joined by an operator or by standing side by side; each is of any length, and each line or part of it becomes a span. Names
 bound once to a literal are constants; where a name is assigned another name, the constant's literal
 is propagated to it. A literal is then scored by its target names (how sensitive their words are) and
-its form, and reported as kind `literal` at 1.0 or more.
+its form, and reported as kind `literal` at 1.0 or more. Quoted text with blanks is no secret; it is read for pairs inside.
 
 Defined cases: null text is empty and has no span; positions are code points, end exclusive; rows are
 scanned one by one, so ties, repeats and ids play no part; other columns are ignored.
@@ -33,12 +35,40 @@ SENSITIVE = {
     "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.5, "bearer": 0.7, "private": 0.5,
     "access": 0.4, "key": 0.5, "signing": 0.4, "encryption": 0.4, "session": 0.3, "salt": 0.4, "pin": 0.4,
 }
-#: A name is tried at the start of its run only and no part is given back, so nothing needs a bound to be linear.
-PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)["'`]?[\x20\t]*+(?::=|=>|=|:)[\x20\t]*+(?:"(?P<dq>[^"\n]{1,512}(?=")|[^"\s]++)"|'(?P<sq>[^'\n]{1,512}(?=')|[^'\s]++)'|`(?P<bq>[^`\n]{1,512}(?=`)|[^`\s]++)`|(?P<bare>[A-Za-z0-9+/_.=$\-]++))""",
-    re.ASCII,
+#: Where a literal may follow: a target in its syntax, up to the operator. No part of a run is given back and runs of
+#: neighbouring targets don't overlap, so reading is linear without bounds.
+TARGET = re.compile(
+    r"""
+    (?<![A-Za-z0-9_.\-])[0-9.\-]*+
+    (?:(?:var|const)[\x20\t]++(?P<decl>[A-Za-z_][A-Za-z0-9_]*+)[\x20\t]++(?=[A-Za-z_]))?+      # var token string =
+    (?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)
+    (?:\\?["'`])?+\]?+(?:\[[^\[\]\n"']*+\])?+\??+[\x20\t]*+                                     # "token": x["token"] token[] =
+    (?: :[\x20\t]*+(?:[&*](?:'[a-z]++\x20)?+)?+(?P<type>[A-Za-z_](?:[A-Za-z0-9_.]|::)*+)        # token: &'static str =
+        (?:[<\[][A-Za-z0-9_.,\x20<>\[\]|]*+)?+\??[\x20\t]*+=(?![=>])
+      | :=|=>|=(?!=)|: )
+    | (?:define|putenv|setenv|getenv|setdefault|setProperty|put|set)\(\s*+["'](?P<arg>[A-Za-z_][A-Za-z0-9_.\-]*+)["']\s*+,  # set("token", x)
+    | \#[\x20\t]*+define[\x20\t]++(?P<macro>[A-Za-z_][A-Za-z0-9_]*+)[\x20\t]
+    | <(?P<tag>[A-Za-z_][A-Za-z0-9_.:\-]*+)(?:\s[^<>]*+)?+>(?P<inner>[^<>]*+)(?=</)            # <token>x</token>
+    """,
+    re.ASCII | re.VERBOSE,
 )
+GAP = re.compile(r"[\x20\t]*+(?:/\*[^*\n]*+\*/[\x20\t]*+)?+(?:\\?\r?\n[\x20\t]*+(?=[\"'`(]))?+(?P<paren>\(\s*+)?+", re.ASCII)
+STRING = re.compile(
+    r"""(?:[rbfuRBFUL@$]{1,2}(?=["'`]))?+(?:
+        \"{3}(?P<t2>(?s:.*?))\"{3} | '{3}(?P<t1>(?s:.*?))'{3}
+      | "(?P<dq>(?:[^"\\\n]++|\\.)*+)" | '(?P<sq>(?:[^'\\\n]++|\\.)*+)' | `(?P<bq>[^`]*+)`
+      | \\"(?P<e2>[^"\\\n]*+)\\?" | \\'(?P<e1>[^'\\\n]*+)\\?' )""",
+    re.ASCII | re.VERBOSE,
+)
+JOINER = re.compile(r"\s*+(?:\+|\.\.?|&|\|\|)\s*+|[\x20\t]*+\\\r?\n[\x20\t]*+|[\x20\t]++(?=[\"'`])", re.ASCII)
+BARE = re.compile(r"[A-Za-z0-9+/_.=$\-@!#%^*~?]++", re.ASCII)
+BLOCK = re.compile(r"[|>][+\-0-9]*+[\x20\t]*+\r?\n", re.ASCII)
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z", re.ASCII)
+SYMBOL = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*+", re.ASCII)
+SPACE = re.compile(r"\s+")
+LINE = re.compile(r"[^\s\\](?:[^\n]*[^\s\\])?")
+#: Targets whose value names the next pair's literal, and the targets of that literal.
+NAMING, NAMED = {"name", "key", "id"}, {"value", "val", "content", "default"}
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.ASCII)
 
 
@@ -69,22 +99,89 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(out)
 
 
+def _block(text: str, line: int, at: int) -> int:
+    """Where the lines end that follow `at` and are indented more than the line that begins at `line`, or blank."""
+    indent = re.compile(r"[\x20\t]*+(?:-[\x20\t]++)?+").match(text, line).end() - line
+    row, end = re.compile(rf"(?:[\x20\t]{{{indent + 1}}}[^\n]*+|[\x20\t\r]*+)(?:\n|\Z)"), at
+    while at < len(text) and (m := row.match(text, at)) and m.end() > at:
+        at = m.end()
+        end = at if m[0].strip() else end
+    return end
+
+
+def _pieces(text: str, a: int, b: int, block: bool = False) -> list[tuple[int, int]]:
+    """The lines of a literal, without what indents and continues them and without the marks of a PEM block."""
+    if not block and "\n" not in text[a:b]:
+        return [(a, b)]
+    return [m.span() for m in LINE.finditer(text, a, b) if not m[0].startswith("-----")]
+
+
+def pairs(text: str):
+    """(names, pieces of the literal, names it is assigned from) of each pair, in order."""
+    at, naming = 0, None
+    while m := TARGET.search(text, at):
+        names = {m[k] for k in ("decl", "name", "type", "arg", "macro", "tag") if m[k]}
+        parts: list[tuple[int, int]] = []
+        sources: list[str] = []
+        at = m.end()
+        if m["tag"]:
+            value = m["inner"].strip()
+            start = m.start("inner") + m["inner"].find(value)
+            parts = _pieces(text, start, start + len(value))
+            resume = at if not any(map(str.isspace, value)) else m.start("inner")
+        else:
+            gap = GAP.match(text, at)
+            start = resume = gap.end()
+            inside = gap["paren"] is not None
+            if text[at - 1] == ":" and (block := BLOCK.match(text, start)):
+                end = _block(text, text.rfind("\n", 0, m.start()) + 1, block.end())
+                parts = _pieces(text, block.end(), end, True)
+                resume = end if not any(c.isspace() for p in parts for c in text[slice(*p)]) else block.end()
+            elif string := STRING.match(text, start):
+                while string:
+                    a, b = string.span(string.lastgroup)
+                    prose = string.lastgroup not in ("t1", "t2") and any(map(str.isspace, text[a:b]))
+                    if prose and parts:
+                        break
+                    parts += _pieces(text, a, b)
+                    resume = a if prose else string.end()
+                    join = None if prose else JOINER.match(text, resume) or (inside and SPACE.match(text, resume)) or None
+                    string = join and STRING.match(text, join.end())
+                    if join and not string and join[0].strip() and (s := SYMBOL.match(text, join.end())):
+                        sources.append(s[0])
+            elif bare := BARE.match(text, start):
+                parts, resume = [bare.span()], bare.end()
+                if text[bare.end() : bare.end() + 1] == "(":
+                    parts = []  # a call
+                elif IDENTIFIER.match(bare[0]):
+                    sources.append(bare[0])
+                    join = JOINER.match(text, bare.end())
+                    if join and join[0].strip() and (string := STRING.match(text, join.end())) and not any(map(str.isspace, string[string.lastgroup])):
+                        parts, resume = _pieces(text, *string.span(string.lastgroup)), string.end()
+        if parts:
+            word = min(names).lower() if len(names) == 1 else ""
+            if naming and word in NAMED:
+                names.add(naming)
+            naming = text[slice(*parts[0])] if word in NAMING and len(parts) == 1 else None
+            yield names, tuple(parts), sources
+        at = resume if m["tag"] else max(resume, at)
+
+
 def literal_spans(text: str) -> list[tuple[int, int, int, int]]:
     """Scored literals of the name-literal pairs, constants propagated."""
-    if "=" not in text and ":" not in text:
+    if not any(c in text for c in "=:<,#"):
         return []
-    literals: dict[tuple[int, int], set[str]] = {}
-    bound: dict[str, tuple[int, int] | None] = {}
+    literals: dict[tuple, set[str]] = {}
+    bound: dict[str, tuple | None] = {}
     alias: list[tuple[str, str]] = []
-    hop: dict[tuple[int, int], str] = {}  # spans that are names themselves
-    for m in PAIR.finditer(text):
-        group = m.lastgroup
-        at, value = m.span(group), m[group]
-        if group == "bare" and IDENTIFIER.match(value):
-            alias.append((m["name"], value))
-            hop[at] = value
-        literals.setdefault(at, set()).add(m["name"])
-        bound[m["name"]] = None if m["name"] in bound and bound[m["name"]] != at else at
+    hop: dict[tuple, str] = {}  # literals that are names themselves
+    for names, at, sources in pairs(text):
+        alias += [(name, source) for name in names for source in sources]
+        if len(at) == 1 and sources == [text[slice(*at[0])]]:
+            hop[at] = sources[0]
+        literals.setdefault(at, set()).update(names)
+        for name in names:
+            bound[name] = None if name in bound and bound[name] != at else at
     final: dict[str, tuple[int, int] | None] = {}
 
     def literal_of(name):
@@ -106,11 +203,14 @@ def literal_spans(text: str) -> list[tuple[int, int, int, int]]:
         if source != target and (at := literal_of(source)) is not None:
             literals[at].add(target)
     out = []
-    for (a, b), names in literals.items():
+    for at, names in literals.items():
+        if "." in hop.get(at, "") and not re.search("[0-9]", hop[at]):
+            continue  # a.b.c refers to something
         named = max(map(name_score, names))
-        if named >= 0.5 and named * 0.6 + (s := literal_score(text[a:b])) >= 1.0 and s >= 0.4:
-            out.append((a, 3, b, a))
-    return out
+        value = "".join(text[a:b] for a, b in at)
+        if named >= 0.5 and named * 0.6 + (s := literal_score(value)) >= 1.0 and s >= 0.4:
+            out += [(a, 3, b, a) for a, b in at if a < b]
+    return sorted(set(out))
 
 
 def scan(text: str) -> tuple[list, list]:

@@ -80,6 +80,82 @@ def test_chains_of_constants_in_any_order(steps):
     assert s3.literal_spans("password = n1\nn1 = n2\nn2 = n1\n") == []
 
 
+SYNTAX = [
+    'private_key = "Z"',
+    'private_key: "Z",',
+    '{"private_key": "Z"}',
+    '{"private_key" : \'Z\'}',
+    '{\\"private_key\\": \\"Z\\"}',
+    'private_key := "Z"',
+    "'private_key' => 'Z',",
+    'private-key: Z',
+    'PRIVATE_KEY=Z',
+    'export PRIVATE_KEY=Z',
+    'private.key=Z',
+    'privateKey: `Z`',
+    'privateKey = `Z`;',
+    'private_key: str = "Z"',
+    'private_key: Optional[str] = "Z"',
+    'let private_key: &str = "Z";',
+    'let private_key: &\'static str = "Z";',
+    "private privateKey?: string = 'Z';",
+    'val privateKey: String = "Z"',
+    'const privateKey string = "Z"',
+    'var privateKey string = "Z"',
+    'char private_key[] = "Z";',
+    'char private_key[64] = "Z";',
+    'os.environ["PRIVATE_KEY"] = "Z"',
+    "$config['private_key'] = 'Z';",
+    "define('PRIVATE_KEY', 'Z');",
+    'os.environ.setdefault("PRIVATE_KEY", "Z")',
+    'props.setProperty("private.key", "Z");',
+    '#define PRIVATE_KEY "Z"',
+    '<privateKey>Z</privateKey>',
+    '<private-key type="x"> Z </private-key>',
+    '<add key="private_key" value="Z"/>',
+    '- name: PRIVATE_KEY\n  value: Z',
+    '{"name": "PRIVATE_KEY", "value": "Z"}',
+    'private_key: |\n  Z',
+    'private_key: >-\n  Z\nnext: 1',
+    'private_key = """Z"""',
+    'private_key = (\n    "Z"\n)',
+    'private_key = /* here */ "Z"',
+    'private_key =\n    "Z"',
+    'private_key = \\\n    "Z"',
+    'private_key = b"Z"',
+    "private_key = r'Z'",
+    '@"x"; private_key = @"Z"',
+    'a = "Z"\nprivate_key = a',
+    'private_key = a\na = "Z"',
+    'a = "Z"\nb = a\nprivate_key = "x" + b',
+    'cmd = "run --now private_key=Z please"',
+]
+
+
+@pytest.mark.parametrize("text", SYNTAX)
+def test_each_syntax_of_an_assignment(text):
+    value = "Zx9Qw4Rt7Lp2Vb"
+    text = text.replace("Z", value)
+    assert s3.redact(text, s3.scan(text)[1]).replace("[secret]", value) == text
+    assert s3.redact(text, s3.scan(text)[1]).count("[secret]") == 1
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['private_key = "Zx9Qw4R" + "t7Lp2VbKq8"', 'private_key = "Zx9Qw4R" "t7Lp2VbKq8"', 'private_key = ("Zx9Qw4R"\n   "t7Lp2VbKq8")',
+     "private_key = 'Zx9Qw4R' . 't7Lp2VbKq8'", 'private_key = "Zx9Q\\"w4Rt7Lp2VbKq8"',
+     "private_key: |\n  -----BEGIN KEY-----\n  Zx9Qw4Rt7Lp2Vb\n  Kq8Qw4Rt7Lp2Vb\n  -----END KEY-----\nnext: 1", "private_key = `-----BEGIN KEY-----\nZx9Qw4Rt7Lp2VbKq8\n`"],
+)
+def test_parts_of_a_literal_are_redacted(text):
+    got = s3.redact(text, s3.scan(text)[1])
+    assert "[secret]" in got and not re.search("Zx9|t7Lp|w4R|Kq8", got) and (not text.endswith("1") or got.endswith("1"))
+
+
+@pytest.mark.parametrize("text", ["private_key = os.getenv", 'private_key = load_key("x")', "private_key: str = None", "key idea: remember this well", 'a == "Zx9Qw4Rt7Lp2Vb"', 'private_key = """', "private_key: |", "private_key = (", "<private_key", "private_key: a phrase of several words"])
+def test_no_literal(text):
+    assert s3.literal_spans(text) == []
+
+
 def brute4(docs, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     split = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
