@@ -214,10 +214,11 @@ def train(docs: DataFrame, sample: int = SAMPLE):
     segments, classes = [], []
     r = np.random.default_rng(3)
     for k, lang in enumerate(langs):
-        # a text adds three short windows, taken where the text is: no long text travels whole
-        own = rows.filter(F.col("lang") == lang).orderBy(mixed, "doc_id").limit(sample).select(F.encode("text", "UTF-8").alias("b"))
+        # a text adds three short windows, taken where the text is: only they are ordered and travel, no text
         spots = [F.expr(f"substring(b, cast(1 + floor((length(b) - {TRAIN_SEGMENT}) * {q}) as int), {TRAIN_SEGMENT})") for q in (r.random(PER_DOC) * 0.999).round(4)]
-        for row in own.select(F.length("b").alias("n"), F.when(F.length("b") >= TRAIN_SEGMENT, F.array(*spots)).otherwise(F.array("b")).alias("s")).toLocalIterator():
+        own = rows.filter(F.col("lang") == lang).select(mixed.alias("at"), "doc_id", F.encode("text", "UTF-8").alias("b"))
+        own = own.select("at", "doc_id", F.when(F.length("b") >= TRAIN_SEGMENT, F.array(*spots)).otherwise(F.array("b")).alias("s"))
+        for row in own.orderBy("at", "doc_id").limit(sample).toLocalIterator():
             for s in row.s:
                 if s:
                     segments.append(np.resize(np.frombuffer(bytes(s), np.uint8), TRAIN_SEGMENT))
