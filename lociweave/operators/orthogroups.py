@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import grouped_quantiles
 from ..plans.staging import stage
 from .graph import connected_components
 
@@ -146,4 +147,8 @@ def edge_stats() -> list:
 
 
 def genome_pair_stats(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("g1", "g2").agg(*edge_stats())
+    """edge_stats of each genome pair: few groups with any number of rows, so no group's values are held at once."""
+    rows = stage(pairs.select("g1", "g2", "mutual_ci"), "scores")
+    others = [F.count(F.lit(1)).alias("nE"), F.max("mutual_ci").alias("max"), F.min("mutual_ci").alias("min"), F.avg("mutual_ci").alias("mean"), F.stddev_samp("mutual_ci").alias("sd")]
+    found = grouped_quantiles(rows, ["g1", "g2"], "mutual_ci", {"q1": 0.25, "median": 0.5, "q3": 0.75}, others)
+    return found.select("g1", "g2", "nE", *(F.round(c, 6).alias(c) for c in ("max", "q1", "median", "q3", "min", "mean", "sd")))

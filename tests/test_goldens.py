@@ -2,14 +2,15 @@
 
 import itertools
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from lociweave.functions import sequences
-from lociweave.functions.stats import fences, sig6
+from lociweave.functions.stats import fences, grouped_quantiles, sig6
 from lociweave.operators import annotation, compare, graph, hits, intervals, orthogroups, pairing, synteny
-from lociweave.plans import search
+from lociweave.plans import adapters, search
 
 HSP = "txA long, txB long, Astart int, Aend int, Bstart int, Bend int, pident double, dir int, qlen int"
 CASES = {
@@ -205,3 +206,33 @@ def test_chromosome_names(spark):
     want = {"chr001": "chr01", " scaffold ": "chr_scaffold", "Brand#12": "chr12", "0": "chr00", "Sc 7x99": "chr07", "A--b": "chr_a_b", "99999999999": "chr_99999999999"}
     df = spark.createDataFrame([(x,) for x in want], "x string")
     assert {r.x: r.n for r in df.select("x", sequences.chromosome_name(F.col("x")).alias("n")).collect()} == want
+
+
+def test_quantiles_hold_no_group(spark, tmp_path):
+    """Equal to Spark's own, in brackets that are too narrow as well, and without its aggregate of all values."""
+    v = F.when(F.col("id") % 7 == 0, None).otherwise(F.round(F.rand(1) * F.rand(2), 3) * F.when(F.col("id") % 11 == 0, -1).otherwise(1))
+    odd = spark.createDataFrame([(5, 1.0), (5, 2.0), (6, None), (7, float("nan")), (7, 1.0), (None, 3.0)], "g long, v double")
+    spark.range(20_000).select((F.col("id") % 2).alias("g"), v.alias("v")).unionByName(odd).write.parquet(str(tmp_path / "v"))
+    rows = spark.read.parquet(str(tmp_path / "v"))
+    probs = {"a": 0.1, "b": 0.25, "c": 0.5, "d": 0.9}
+    want = sorted(map(repr, rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *(F.percentile("v", F.lit(p)).alias(k) for k, p in probs.items())).collect()))
+    for error in (1e-4, 0.01, 0.5):
+        assert sorted(map(repr, grouped_quantiles(rows, ["g"], "v", probs, [F.count(F.lit(1)).alias("n")], error).collect())) == want
+    scores = pairs(spark, [(k, "x", 0.5, 0.25 + k / 100) for k in range(9)])
+    for df in (orthogroups.genome_pair_stats(scores), pairing.mutual_ci_stats(scores)):
+        assert "percentile(" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_lead_pairs(spark):
+    """What begins with the best pairs is the same on the leads as on the whole table, counts included."""
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).exists():
+        pytest.skip("no test tables")
+    whole, leads = adapters.pair_scores(spark, sf), adapters.lead_pairs(spark, sf)
+    rows = lambda df: sorted(map(tuple, df.select(*adapters.SCORED).collect()))
+    assert 0 < leads.count() < whole.count()
+    assert rows(pairing.untangle(leads)) == rows(pairing.untangle(whole))
+    best = pairing.reciprocal_best(leads)
+    assert rows(best) == rows(pairing.reciprocal_best(whole))
+    assert rows(pairing.drop_high_copy(best, leads)) == rows(pairing.drop_high_copy(pairing.reciprocal_best(whole), whole))
+    assert rows(pairing.anchors(leads)) == rows(pairing.anchors(whole))
