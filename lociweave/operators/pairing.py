@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.stats import fences, fences_of
+from ..functions.stats import fences, fences_of, grouped_quantiles
 from ..plans.staging import stage
 from .graph import connected_components
 
@@ -263,11 +263,11 @@ def orphans(pairs: DataFrame, genes: DataFrame) -> DataFrame:
 def mutual_ci_stats(pairs: DataFrame) -> DataFrame:
     """genome1, genome2 (ordered), n_pairs, mean, sd, median, q10, q25, q75, q90 of finite mutual_ci."""
     rows = pairs.filter("mutual_ci is not null and not isnan(mutual_ci) and abs(mutual_ci) < double('infinity')")
-    rows = rows.select(F.least("g1", "g2").alias("genome1"), F.greatest("g1", "g2").alias("genome2"), "mutual_ci")
-    q = F.percentile("mutual_ci", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9))))
-    rows = rows.groupBy("genome1", "genome2").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("mutual_ci").alias("mean"), F.stddev_samp("mutual_ci").alias("sd"), q.alias("q"))
-    names = ("q10", "q25", "median", "q75", "q90")
-    return rows.select("genome1", "genome2", "n_pairs", *(F.round(c, 6).alias(c) for c in ("mean", "sd")), *(F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(names)))
+    rows = stage(rows.select(F.least("g1", "g2").alias("genome1"), F.greatest("g1", "g2").alias("genome2"), "mutual_ci"), "scores")
+    others = [F.count(F.lit(1)).alias("n_pairs"), F.avg("mutual_ci").alias("mean"), F.stddev_samp("mutual_ci").alias("sd")]
+    names = {"q10": 0.1, "q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9}
+    rows = grouped_quantiles(rows, ["genome1", "genome2"], "mutual_ci", names, others)
+    return rows.select("genome1", "genome2", "n_pairs", *(F.round(c, 6).alias(c) for c in ("mean", "sd", *names)))
 
 
 def mean_ci_matrix(pairs: DataFrame, genomes: list[str]) -> DataFrame:
