@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import stage
 from .intervals import flanking
 
 PAIR = ["g1", "g2"]
@@ -13,16 +14,21 @@ PAIR = ["g1", "g2"]
 def syntenic_join(pairs: DataFrame, anchor: DataFrame, genes: DataFrame) -> DataFrame:
     """Pairs whose gene1 has a flanking anchor whose partner flanks gene2; with is_anchor_pair. genes:
     genome, gene, chr; places are genes themselves."""
-    ids = pairs.select(*PAIR).distinct()
+    ids = stage(pairs.select(*PAIR).distinct().withColumn("__pair", F.monotonically_increasing_id()), "ids")
 
     def flanks(g, k):
         own = anchor.select(*PAIR, F.col(f"gene{k}").alias("gene"), F.lit(True).alias("__a"))
         rows = ids.join(genes, ids[g] == genes.genome).join(own, [*PAIR, "gene"], "left").withColumn("__a", F.coalesce("__a", F.lit(False)))
-        return flanking(rows, [*PAIR, "chr"], "gene", "__a").select(*PAIR, F.col("gene").alias(f"gene{k}"), F.col("anchor_at").alias(f"root{k}"))
-
-    link = anchor.select(*PAIR, F.col("gene1").alias("root1"), F.col("gene2").alias("root2"))
-    reached = pairs.join(flanks("g1", 1), [*PAIR, "gene1"]).join(link, [*PAIR, "root1"]).join(flanks("g2", 2), [*PAIR, "gene2", "root2"])
-    rows = reached.select(*PAIR, "gene1", "gene2").distinct()
+        return flanking(rows, ["__pair", "chr"], "gene", "__a").select("__pair", F.col("gene").alias(f"gene{k}"), F.col("anchor_at").alias(f"root{k}"))
+
+    # the anchors that either gene reaches, by their gene2: every pair meets each list once
+    link = anchor.join(ids, PAIR).select("__pair", F.col("gene1").alias("root1"), F.col("gene2").alias("root2"))
+    near1 = flanks("g1", 1).join(link, ["__pair", "root1"]).groupBy("__pair", "gene1").agg(F.collect_set("root2").alias("__near1"))
+    near2 = flanks("g2", 2).groupBy("__pair", "gene2").agg(F.collect_set("root2").alias("__near2"))
+    keyed = pairs.join(F.broadcast(ids), PAIR).select("__pair", "gene1", "gene2")
+    half = stage(keyed.join(near1, ["__pair", "gene1"]), "half")  # else two shuffles of all pairs lie on disk at once
+    reached = half.join(near2, ["__pair", "gene2"]).filter(F.arrays_overlap("__near1", "__near2"))
+    rows = reached.select("__pair", "gene1", "gene2").distinct().join(F.broadcast(ids), "__pair").select(*PAIR, "gene1", "gene2")
     flag = anchor.select(*PAIR, "gene1", "gene2", F.lit(True).alias("is_anchor_pair"))
     return rows.join(flag, [*PAIR, "gene1", "gene2"], "left").withColumn("is_anchor_pair", F.coalesce("is_anchor_pair", F.lit(False)))
 

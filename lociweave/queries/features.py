@@ -79,14 +79,10 @@ def flanking_anchors(spark, sf):
     return intervals.flanking(g, ["genome", "chr"], "gene", "anchor").select("genome", "chr", "gene", "anchor_at")
 
 
-def _anchored(spark, sf):
-    p = stage(A.placed_pairs(spark, sf), "placed")
-    return p, stage(pairing.anchors(p), "anchors")
-
-
 def syntenic_join(spark, sf):
-    p, a = _anchored(spark, sf)
-    return synteny.syntenic_join(p, a, A.genes(spark, sf)).select("g1", "g2", "gene1", "gene2", "is_anchor_pair")
+    w = A.pair_weights(spark, sf)
+    a = stage(pairing.anchors(A.lead_pairs(spark, sf, w)).select("g1", "g2", "gene1", "gene2"), "anchors")
+    return synteny.syntenic_join(A.genomes_of(w), a, A.genes(spark, sf)).select("g1", "g2", "gene1", "gene2", "is_anchor_pair")
 
 
 def _track(spark, sf):
