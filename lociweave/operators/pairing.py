@@ -290,6 +290,7 @@ def pair_summary(classified: DataFrame, genes: DataFrame) -> DataFrame:
         counts = first.groupBy(*PAIR, "side", "genome").agg(*(F.sum(F.when(F.col("class") == c, 1).otherwise(0)).alias(c) for c in CLASSES))
         sides.append(counts)
     rows = sides[0].unionByName(sides[1]).join(orphan, [*PAIR, "genome"], "left").withColumn("Orphan", F.coalesce("count", F.lit(0)))
+    classified = stage(classified, "classified")  # read six times
     rows = rows.withColumn("Classified", sum((F.col(c) for c in CLASSES), F.lit(0))).withColumn("Total", F.col("Classified") + F.col("Orphan"))
     labels = ["Total", "Classified", *CLASSES, "Orphan"]
     cells = [F.struct(F.lit(x).alias("label"), F.col(x).cast("double").alias("v")) for x in labels]

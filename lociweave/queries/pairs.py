@@ -112,7 +112,7 @@ def mean_ci_matrix(spark, sf):
 
 
 def pair_summary(spark, sf):
-    p = pairing.pair_class(pairing.untangle(A.pair_scores(spark, sf)))
+    p = pairing.pair_class(pairing.untangle(A.lead_pairs(spark, sf)))
     return pairing.pair_summary(p, A.genes(spark, sf).select("genome", "gene"))
 
 
