@@ -250,7 +250,7 @@ def filter_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def orphans(pairs: DataFrame, genes: DataFrame) -> DataFrame:
-    """g1, g2, genome, gene: genes (genome, gene) of either genome in no pair."""
+    """g1, g2, genome, gene: genes (genome, gene) of either genome in no pair. pairs are read four times."""
     pair_ids = pairs.select(*PAIR).distinct()
     sides = []
     for g, gene in (("g1", "gene1"), ("g2", "gene2")):

@@ -100,7 +100,8 @@ def filter_pairs(spark, sf):
 
 
 def orphans(spark, sf):
-    return pairing.orphans(pairing.reciprocal_best(A.pair_scores(spark, sf)), A.genes(spark, sf).select("genome", "gene"))
+    best = stage(pairing.reciprocal_best(A.lead_pairs(spark, sf)), "best")
+    return pairing.orphans(best, A.genes(spark, sf).select("genome", "gene"))
 
 
 def mutual_ci_stats(spark, sf):
