@@ -1,7 +1,8 @@
 """Scored gene pairs of all genome pairs at once -> anchors, syntenic hits, classes, orphans, summaries.
 
 A pair table has g1, g2 (genomes), gene1, gene2, ci_q2s, ci_s2q, pident, mutual_ci, unique by (g1, g2,
-gene1, gene2); chr1, chr2, pos1, pos2 where places matter. (g1, g2) leads every key. All ranks are total:
+gene1, gene2); chr1, chr2, pos1, pos2 where places matter. A table cut to the rows that lead one of their genes gives
+the same best pairs; it brings n1, n2, its genes' numbers of pairs in the whole table. (g1, g2) leads every key. All ranks are total:
 ties go by mutual_ci descending, then the genes.
 """
 
@@ -61,6 +62,10 @@ def untangle(pairs: DataFrame) -> DataFrame:
     return _best_flags(pairs).filter("r1 = 1 or r2 = 1").drop("r1", "r2")
 
 
+def _counted(pairs: DataFrame) -> bool:
+    return {"n1", "n2"} <= set(pairs.columns)
+
+
 def _within_copies(counted: DataFrame) -> DataFrame:
     """counted (with n1, n2) without rows that have more of both than the upper fences."""
     limit = fences_of(counted, PAIR, {"f1": "n1", "f2": "n2"})
@@ -69,6 +74,8 @@ def _within_copies(counted: DataFrame) -> DataFrame:
 
 def drop_high_copy(best: DataFrame, pairs: DataFrame) -> DataFrame:
     """Without reciprocal bests both of whose genes have more hits than the upper fence of their side."""
+    if _counted(best):
+        return _within_copies(stage(best, "best"))
     n1 = pairs.groupBy(*PAIR, "gene1").agg(F.count(F.lit(1)).alias("n1"))
     n2 = pairs.groupBy(*PAIR, "gene2").agg(F.count(F.lit(1)).alias("n2"))
     return _within_copies(best.join(n1, [*PAIR, "gene1"]).join(n2, [*PAIR, "gene2"])).select(*best.columns)
@@ -81,8 +88,8 @@ def identity_fence(rows: DataFrame) -> DataFrame:
 def anchors(pairs: DataFrame) -> DataFrame:
     """identity_fence(drop_high_copy(reciprocal_best(pairs), pairs)), with pairs read once: the bests, far fewer,
     are written with their genes' counts before the fences read them."""
-    counted = stage(_best_flags(pairs, counts=True).filter("r1 = 1 and r2 = 1").drop("r1", "r2"), "best")
-    return identity_fence(_within_copies(counted).drop("n1", "n2")).select(*pairs.columns)
+    counted = stage(_best_flags(pairs, counts=not _counted(pairs)).filter("r1 = 1 and r2 = 1").drop("r1", "r2"), "best")
+    return identity_fence(_within_copies(counted).drop("n1", "n2")).select(*(c for c in pairs.columns if c not in ("n1", "n2")))
 
 
 #: Pairs of one chromosome pair that a task takes; more are dealt to several, each with the anchors.
@@ -283,6 +290,7 @@ CLASSES = ("1to1", "1toM", "Mto1", "MtoM")
 
 def pair_summary(classified: DataFrame, genes: DataFrame) -> DataFrame:
     """g1, g2, label, genome1, genome2: counts and ratios of genes by class, one row for each label."""
+    classified = stage(classified, "classified")  # read six times
     orphan = orphans(classified, genes).groupBy(*PAIR, "genome").count()
     sides = []
     for k, (g, gene) in enumerate((("g1", "gene1"), ("g2", "gene2")), 1):
@@ -290,7 +298,6 @@ def pair_summary(classified: DataFrame, genes: DataFrame) -> DataFrame:
         counts = first.groupBy(*PAIR, "side", "genome").agg(*(F.sum(F.when(F.col("class") == c, 1).otherwise(0)).alias(c) for c in CLASSES))
         sides.append(counts)
     rows = sides[0].unionByName(sides[1]).join(orphan, [*PAIR, "genome"], "left").withColumn("Orphan", F.coalesce("count", F.lit(0)))
-    classified = stage(classified, "classified")  # read six times
     rows = rows.withColumn("Classified", sum((F.col(c) for c in CLASSES), F.lit(0))).withColumn("Total", F.col("Classified") + F.col("Orphan"))
     labels = ["Total", "Classified", *CLASSES, "Orphan"]
     cells = [F.struct(F.lit(x).alias("label"), F.col(x).cast("double").alias("v")) for x in labels]

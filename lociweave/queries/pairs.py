@@ -35,7 +35,7 @@ def reciprocal_best(spark, sf):
 
 
 def high_copy_filter(spark, sf):
-    p = A.pair_scores(spark, sf)
+    p = A.lead_pairs(spark, sf)
     return pairing.drop_high_copy(pairing.reciprocal_best(p), p).select(COLS)
 
 
