@@ -6,26 +6,87 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..compat import DEFAULT, Compat
-from .intervals import overlap_join
+from ..plans.staging import stage
 
 PROMOTER = 3000
 
 
-def promoter_windows(cds: DataFrame, sizes: DataFrame, length: int = PROMOTER) -> DataFrame:
+#: Width of the bins that chromosomes are swept in.
+BIN = 10_000
+
+
+def first_other(start: np.ndarray, end: np.ndarray, gene: np.ndarray, lo: np.ndarray, hi: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each range [lo, hi] the first of the ranges (sorted by start, end) that overlaps it and is of another gene;
+    -1 if none. The first that reaches lo is where the running maximum of the ends does."""
+    at, found, open_ = np.searchsorted(np.maximum.accumulate(end), lo), np.full(len(lo), -1), np.arange(len(lo))
+    while len(open_):
+        inside = at < len(start)
+        open_, at = open_[inside], at[inside]
+        before = start[at] <= hi[open_]
+        open_, at = open_[before], at[before]
+        hit = (end[at] >= lo[open_]) & (gene[at] != own[open_])
+        found[open_[hit]] = at[hit]
+        open_, at = open_[~hit], at[~hit] + 1
+    return found
+
+
+def _first_rows(it: Iterator[pa.RecordBatch]):
+    """Rows sorted by (spot, bin, kind, start, end): CDS of a bin, then windows, which go on with their first hit."""
+    group, held, ready = None, [], None
+    for batch in it:
+        spot, bin_, kind, start, end, gene = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("spot", "bin", "kind", "start", "end", "gene"))
+        at, first = [], []
+        cuts = np.flatnonzero((spot[1:] != spot[:-1]) | (bin_[1:] != bin_[:-1]) | (kind[1:] != kind[:-1])) + 1
+        for i, j in zip([0, *cuts], [*cuts, len(spot)]):
+            if i == j:
+                continue
+            if (spot[i], bin_[i]) != group:
+                group, held, ready = (spot[i], bin_[i]), [], None
+            if kind[i] == 0:
+                held.append((start[i:j].copy(), end[i:j].copy(), gene[i:j].copy()))
+                continue
+            if ready is None and held:
+                ready = [np.concatenate(x) for x in zip(*held)]
+            if ready is not None:
+                found = first_other(*ready, start[i:j], end[i:j], gene[i:j])
+                at.append(i + np.flatnonzero(found >= 0))
+                first.append(np.stack([ready[0], ready[1]])[:, found[found >= 0]])
+        if at:
+            rows, first = np.concatenate(at), np.concatenate(first, 1)
+            yield pa.RecordBatch.from_arrays([batch.column("transcript_id").take(pa.array(rows)), pa.array(first[0]), pa.array(first[1])], names=["transcript_id", "start2", "end2"])
+
+
+def _first_hits(env: DataFrame, cds: DataFrame, width: int) -> DataFrame:
+    """transcript_id, start2, end2: the first CDS of another gene over each window. Both go to the bins that they touch;
+    a bin is swept once, whatever its depth. Genes are compared by 64-bit names."""
+    spots = stage(cds.select("seqnames", "strand").distinct().withColumn("spot", F.monotonically_increasing_id()), "spots")
+    bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width)))
+    sides = []
+    for kind, rows in ((0, cds.withColumn("transcript_id", F.lit(None).cast(env.schema["transcript_id"].dataType))), (1, env)):
+        rows = rows.filter("gene_id is not null").join(spots, ["seqnames", "strand"])
+        sides.append(rows.select("spot", bins.alias("bin"), F.lit(kind).alias("kind"), F.col("start").cast("long"), F.col("end").cast("long"), F.xxhash64("gene_id").alias("gene"), "transcript_id"))
+    both = sides[0].unionByName(sides[1]).repartition("spot", "bin").sortWithinPartitions("spot", "bin", "kind", "start", "end")
+    schema = T.StructType([env.schema["transcript_id"], T.StructField("start2", T.LongType()), T.StructField("end2", T.LongType())])
+    first = both.mapInArrow(_first_rows, schema).groupBy("transcript_id").agg(F.min(F.struct("start2", "end2")).alias("f"))
+    return first.select("transcript_id", "f.*")
+
+
+def promoter_windows(cds: DataFrame, sizes: DataFrame, length: int = PROMOTER, width: int = BIN) -> DataFrame:
     """transcript_id, start, end: `length` bases before each transcript's CDS, cut where another gene's CDS
     of the strand begins, and at the chromosome's ends. cds: transcript_id, gene_id, seqnames, strand,
     start, end; sizes: seqnames, size."""
+    cds = stage(cds, "cds")  # read for the windows and for what cuts them
     env = cds.groupBy("transcript_id", "gene_id", "seqnames", "strand").agg(F.min("start").alias("s"), F.max("end").alias("e"))
     plus = F.col("strand") != "-"
     env = env.withColumn("start", F.when(plus, F.col("s") - length).otherwise(F.col("e") + 1)).withColumn("end", F.when(plus, F.col("s") - 1).otherwise(F.col("e") + length))
-    other = cds.select("seqnames", "strand", F.col("gene_id").alias("gene2"), F.col("start").alias("start2"), F.col("end").alias("end2"))
-    hit = overlap_join(env, other, ["seqnames", "strand"], 10_000).filter("gene2 <> gene_id")
-    first = F.row_number().over(Window.partitionBy("transcript_id").orderBy("start2", "end2", "gene2"))
-    hit = hit.withColumn("r", first).filter("r = 1").select("transcript_id", "start2", "end2")
+    env = stage(env.drop("s", "e"), "windows")
+    hit = stage(_first_hits(env, cds, width), "hits")
     rows = env.join(hit, "transcript_id", "left").join(sizes, "seqnames")
     gap = F.when(plus, F.col("end") - F.col("end2")).otherwise(F.col("start2") - F.col("start"))
     near = (gap > 0) & (gap < length)

@@ -20,7 +20,8 @@ def _features(spark, sf):
 
 
 def _cds(spark, sf):
-    return _features(spark, sf).filter("type = 'CDS'").select(F.col("parent").alias("transcript_id"), "gene_id", F.col("seqnames"), "strand", "start", "end")
+    # only ranges of genes and transcripts are repaired
+    return annotation.with_gene_id(A.annotation(spark, sf)).filter("type = 'CDS'").select(F.col("parent").alias("transcript_id"), "gene_id", F.col("seqnames"), "strand", "start", "end")
 
 
 def feature_range_fix(spark, sf):
