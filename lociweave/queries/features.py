@@ -166,7 +166,7 @@ def relative_length_filter(spark, sf):
 
 def overlap_collapse(spark, sf):
     c = _cds(spark, sf).select(F.col("gene_id").alias("gene"), F.col("seqnames").alias("chr"), "start", "end")
-    return intervals.collapse_overlapping(c.select("gene").distinct(), c)
+    return intervals.collapsed_classes(c)
 
 
 def contained_models(spark, sf):

@@ -236,3 +236,51 @@ def test_lead_pairs(spark):
     assert rows(best) == rows(pairing.reciprocal_best(whole))
     assert rows(pairing.drop_high_copy(best, leads)) == rows(pairing.drop_high_copy(pairing.reciprocal_best(whole), whole))
     assert rows(pairing.anchors(leads)) == rows(pairing.anchors(whole))
+
+
+def _ranges(n, genes, seed):
+    r = random.Random(seed)
+    spans = [(r.randrange(400), r.randrange(60)) for _ in range(n)]
+    return [(f"t{k % (n // 2)}", f"g{k % genes}", "c" + str(k % 2), "+-"[k % genes % 2], a, a + b) for k, (a, b) in enumerate(spans)]
+
+
+def test_promoters_by_sweep(spark):
+    """Equal to the first of all overlaps, with windows over several bins; no overlap is made into a row."""
+    rows = _ranges(120, 30, 3)
+    cds = spark.createDataFrame(rows, "transcript_id string, gene_id string, seqnames string, strand string, start long, end long")
+    sizes = spark.createDataFrame([("c0", 420), ("c1", 400)], "seqnames string, size long")
+    made = compare.promoter_windows(cds, sizes, 50, 32)
+    assert "overlap_join" not in dir(compare)
+    env = {}
+    for t, g, c, strand, a, b in rows:
+        x = env.setdefault((t, g, c, strand), [a, b])
+        x[:] = min(x[0], a), max(x[1], b)
+    win = {k: (a - 50, a - 1) if k[3] == "+" else (b + 1, b + 50) for k, (a, b) in env.items()}
+    first = {}
+    for (t, g, c, strand), (lo, hi) in win.items():
+        for _, g2, c2, strand2, a, b in rows:
+            if (c, strand) == (c2, strand2) and g != g2 and a <= hi and b >= lo:
+                first[t] = min(first.get(t, (a, b)), (a, b))
+    want = []
+    for (t, _, c, strand), (lo, hi) in win.items():
+        if t in first:
+            gap = hi - first[t][1] if strand == "+" else first[t][0] - lo
+            if 0 < gap < 50:
+                lo, hi = (first[t][1] + 1, hi) if strand == "+" else (lo, first[t][0] - 1)
+        want.append((t, max(lo, 1), min(hi, {"c0": 420, "c1": 400}[c])))
+    assert sorted(map(tuple, made.collect())) == sorted(want)
+
+
+def test_collapsed_classes(spark):
+    """One name a class, not one a gene; classes as by all pairs, over bins' borders."""
+    rows = [(g, c, a, b) for _, g, c, _, a, b in _ranges(60, 40, 5)] + [("far", "c9", 1, 5), ("wide", "c0", 100, 180)]
+    cds = spark.createDataFrame(rows, "gene string, chr string, start long, end long")
+    up = {r[0]: r[0] for r in rows}
+    for _ in range(len(up)):
+        for a in rows:
+            for b in rows:
+                if a[1] == b[1] and a[2] <= b[3] and b[2] <= a[3]:
+                    up[a[0]] = up[b[0]] = min(up[a[0]], up[b[0]])
+    got = intervals.collapsed_classes(cds, 16).collect()
+    assert {r.gene: r.first for r in got} == up and len(got) == len(up)
+    assert all(r.collapsed == ("/".join(sorted(g for g in up if up[g] == r.gene)) if r.gene == r.first else None) for r in got)
