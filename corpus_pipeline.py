@@ -1,7 +1,8 @@
 """A corpus pipeline of five stages over `documents`, each written as Parquet and reread by the next.
 
 Filtering stages keep the columns of documents; the last one packs what is left. Tables that a stage stages for itself
-go when the next one begins: by then its result is written. `run` also deletes each stage's copy of the corpus once
+go when the next one begins: by then its result is written. Each stage sets the session's
+`spark.sql.execution.arrow.maxBytesPerBatch` to `BATCH`, which holds when its result is written. `run` also deletes each stage's copy of the corpus once
 the next is written, and returns the last.
 
 Defined cases: rows with a null doc_id, repeated rows and ids, null and empty texts, other columns and empty tables pass
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 from lociweave.llm import op2_toxicity, op3_secrets, op4_decontaminate, op6_packing, op8_jaccard
 from lociweave.plans.staging import drop_staged, remove, shared_dir, staged
 
+#: Bytes of a batch that a Python worker gets. A batch of whole texts is held several times over, by the JVM and by the
+#: worker, and by default it is bounded by its rows alone.
+BATCH = "4m"
+
 #: (how many staged tables there were before, after) the stage that ran last.
 _last: tuple[int, int] | None = None
 
@@ -29,6 +34,7 @@ def _own_tables_only(stage):
         global _last
         if _last is not None and staged() == _last[1]:  # nothing else staged since
             drop_staged(spark, _last[0])
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
         before = staged()
         out = stage(spark, docs, sf_dir)
         _last = (before, staged())

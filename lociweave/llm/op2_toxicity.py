@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sparkkit import stage
-from .textkit import LOWER, U, chunks, runs, utf8, word_names
+from .textkit import LOWER, U, chunks, runs, trimmed, utf8, word_names
 
 ORDER = 6
 DISCOUNT = 0.75
@@ -261,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit: int = F
     counted = stage(pick(known.filter("fold < 2 and toxic = 0"), sample).unionByName(pick(known.filter("fold < 2 and toxic = 1"), sample)), "counted")
     # at most 2 * sample rows of 16 bytes
     rows = text.join(F.broadcast(counted), "doc_id", "left").select("text", "toxic")
-    grams = rows.mapInArrow(_count, "code long, c0 long, c1 long, every long").groupBy("code").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.sum("every").alias("every"))
+    grams = rows.mapInArrow(trimmed(_count), "code long, c0 long, c1 long, every long").groupBy("code").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.sum("every").alias("every"))
     grams = stage(grams, "grams")
     # continuation counts: how many distinct longer grams end in a gram
     order = F.shiftright("code", 56)
@@ -280,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit: int = F
     model = Model(cols["code"][o].view(U), np.stack([cols["c0"][o], cols["c1"][o]]), cols["every"][o], cols["tails"][o], np.stack([cols["shared_n"][o], cols["shared_t"][o]]))
     sent = spark.sparkContext.broadcast(model)
     fitted = text.join(F.broadcast(pick(known.filter("fold = 3"), fit)), "doc_id")
-    seen = fitted.mapInArrow(_features(sent), "toxic int, x array<double>").toArrow()
+    seen = fitted.mapInArrow(trimmed(_features(sent)), "toxic int, x array<double>").toArrow()
     prior = known.agg(F.avg("toxic")).first()[0] or 0.0
     x = np.array(seen.column("x").to_pylist(), float).reshape(-1, 1 + len(TOPS))
     return sent, Fit(x, seen.column("toxic").to_numpy().astype(float), float(prior))
@@ -311,7 +311,7 @@ def _keep(model, fitted, threshold):
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs, same columns, without the rows that score `threshold` or more."""
     model, fitted = train(docs, labels)
-    return docs.mapInArrow(_keep(model, fitted, threshold), docs.schema)
+    return docs.mapInArrow(trimmed(_keep(model, fitted, threshold)), docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

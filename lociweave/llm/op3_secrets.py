@@ -23,6 +23,8 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .textkit import trimmed
+
 KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -273,7 +275,7 @@ def _redact_batches(it):
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs, same columns, with the values of all spans replaced (and n_chars, if there, to match)."""
-    return docs.mapInArrow(_redact_batches, docs.schema)
+    return docs.mapInArrow(trimmed(_redact_batches), docs.schema)
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .ordering import numbered
 from .sparkkit import stage
-from .textkit import BYTE_VALUE, LOWER, Prefix, U, chunks, runs, utf8, words
+from .textkit import BYTE_VALUE, LOWER, Prefix, U, chunks, runs, trimmed, utf8, words
 
 LENGTH = 4096
 END_ID = 2
@@ -139,7 +139,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
     if length & (length - 1):
         raise ValueError("length must be a power of two")
     rows = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
-    return rows.mapInArrow(_cut(tokenizer, length, end_id), "doc_id long, start long, length long, doc_tokens long, ids binary")
+    return rows.mapInArrow(trimmed(_cut(tokenizer, length, end_id)), "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components, roots
 from .sparkkit import NULL_ID, keyed, oid, stage, tag
-from .textkit import U, Prefix, chunks, mix, runs, utf8, word_names
+from .textkit import Prefix, U, chunks, mix, runs, trimmed, utf8, word_names
 
 SHINGLE = 3
 PERCENT = 90
@@ -422,15 +422,15 @@ def classes_and_links(docs: DataFrame, shingle: int, percent: int, block: int =
     is connected; not every linked pair has its own row."""
     rows = keyed(docs)
     heavy = docs.sparkSession.sparkContext.broadcast(heavy_tokens(rows, shingle, percent))
-    classes = stage(rows.mapInArrow(_emit_classes(shingle, percent, heavy), "doc_id long, oid long, tag long, n long, node long, left long"), "classes")
+    classes = stage(rows.mapInArrow(trimmed(_emit_classes(shingle, percent, heavy)), "doc_id long, oid long, tag long, n long, node long, left long"), "classes")
     table = levels(percent, int(classes.agg(F.max("n")).first()[0] or 0))
-    keys = rows.mapInArrow(_emit_keys(shingle, percent, heavy, SPARE), "key long, node long")
+    keys = rows.mapInArrow(trimmed(_emit_keys(shingle, percent, heavy, SPARE)), "key long, node long")
     parts = stage(candidates(keys, classes.filter("n > 0").groupBy("node").agg(F.min("left").alias("left"))), "parts")
     # one document of each class in a part, with its set
     first = classes.join(parts, "node").groupBy("part", "node").agg(F.min(F.struct("oid", "tag")).alias("k")).select("part", "node", "k.oid", "k.tag")
     first = stage(first, "first")
     sets = only(rows, first).join(first, ["oid", "tag"]).select("part", "oid", "node", "text").dropDuplicates(["node"])
-    sets = stage(sets.mapInArrow(_emit_sets(shingle), "part long, oid long, node long, tokens binary"), "sets")
+    sets = stage(sets.mapInArrow(trimmed(_emit_sets(shingle)), "part long, oid long, node long, tokens binary"), "sets")
     place = sets.select("part", "oid", "node")
     blocks = place.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     rank = F.row_number().over(Window.partitionBy("part").orderBy("oid", "node"))
@@ -441,7 +441,7 @@ def classes_and_links(docs: DataFrame, shingle: int, percent: int, block: int =
     everywhere = F.when(F.coalesce("pivot", F.lit(False)), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
     ready = dealt.select("part", F.explode(everywhere).alias("i"), F.lit(-1).alias("j"), "node", F.col("node").alias("known")).join(tokens, "node")
     ready = ready.repartition("part", "i").sortWithinPartitions("part", "i", "j", "node")
-    links = stage(ready.mapInArrow(_join(percent), "src long, dst long"), "links")
+    links = stage(ready.mapInArrow(trimmed(_join(percent)), "src long, dst long"), "links")
     if dealt.filter("blocks > 1").isEmpty():
         return classes, links
     state = dealt.filter("blocks > 1").join(connected_components(links), "node", "left").select("part", "node", F.coalesce("component", "node").alias("known"))
@@ -474,7 +474,7 @@ def classes_and_links(docs: DataFrame, shingle: int, percent: int, block: int =
     sides = stage(pairs.distinct(), "pairs").select("part", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
     more = state.join(sides, ["part", "own"]).select("part", "i", "j", "node", "known").join(tokens, "node")
     more = more.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j", "node")
-    return classes, stage(links.unionByName(more.mapInArrow(_join(percent), "src long, dst long")), "links")
+    return classes, stage(links.unionByName(more.mapInArrow(trimmed(_join(percent)), "src long, dst long")), "links")
 
 
 def near_duplicate_groups(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:

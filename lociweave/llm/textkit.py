@@ -8,6 +8,7 @@ another key, so a collision needs two coincidences.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,26 @@ CHUNK = 1 << 20
 _pw = _ipw = np.ones(1, U)
 
 
+def _trim() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def trimmed(run):
+    """run for mapInArrow; at a task's end its freed memory is given back. Workers serve one stage after the other, and
+    what they keep of the last one's arrays counts beside the next one's."""
+
+    def out(it):
+        yield from run(it)
+        _trim()
+
+    return out
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _pw, _ipw
     if len(_pw) < n:
