@@ -170,7 +170,7 @@ def overlap_collapse(spark, sf):
 
 
 def contained_models(spark, sf):
-    return models.drop_contained(_cds(spark, sf).select("transcript_id", F.col("seqnames").alias("chr"), "start", "end").distinct())
+    return models.drop_contained(_cds(spark, sf).select("transcript_id", F.col("seqnames").alias("chr"), "start", "end"))
 
 
 def longest_per_locus(spark, sf):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lociweave.functions import sequences
 from lociweave.functions.stats import fences, grouped_quantiles, sig6
-from lociweave.operators import annotation, compare, graph, hits, intervals, orthogroups, pairing, synteny
+from lociweave.operators import annotation, compare, graph, hits, intervals, models, orthogroups, pairing, synteny
 from lociweave.plans import adapters, search
 
 HSP = "txA long, txB long, Astart int, Aend int, Bstart int, Bend int, pident double, dir int, qlen int"
@@ -292,3 +292,21 @@ def test_flanking_frames_only_grow(spark):
     rows = intervals.flanking(genes, ["chr"], "gene", "anchor")
     assert "UnboundedFollowing" not in rows._jdf.queryExecution().analyzed().toString().replace("unboundedfollowing", "UnboundedFollowing")
     assert {(r.gene, r.anchor_at) for r in rows.collect()} == {(g, a) for g in range(20) for a in ({3} if g <= 3 else {3, 9} if g < 9 else {9}) if g != a or g in (3, 9)} - {(9, 3)}
+
+
+@pytest.mark.parametrize("share", [3, 10**6])
+def test_contained_models(spark, share):
+    """As by all pairs, in many regions or few: alike ones, rows given twice, places unknown, ends before starts, two
+    sequences; and no pairs of CDS are joined."""
+    r = random.Random(7)
+    rows = [(f"t{r.randint(0, 250)}", r.choice("aaab"), s := r.randint(0, 60), s + r.choice([-2, 0, 3, 9, 30])) for _ in range(600)]
+    rows += [("n1", None, 5, 6), ("n2", "a", None, 6), ("n2", "a", 1, 99), ("n3", "a", 4, None), ("n4", None, None, None), ("two", "a", 8, 9), ("two", "b", 8, 9), ("far", "a", 70, 10**6), ("in", "a", 9**6, 9**6 + 5)]
+    rows += [("x1", "c", 1, 9), ("x1", "c", 2, 5), ("x2", "c", 1, 9), ("x3", "c", 1, 9), ("x3", "c", 20, 30), ("y1", "d", 1, 2), ("y2", "d", 1, 2), ("y2", "d", None, 2), ("z1", "e", 9, 2), ("z2", "e", 1, 3), ("z2", "e", 50, 60)]
+    cds = {t: {x[1:] for x in rows if x[0] == t} for t in {x[0] for x in rows}}
+    inside = lambda x, y: None not in (*x, *y) and x[0] == y[0] and y[1] <= x[1] and x[2] <= y[2]
+    # the SQL counts different ranges against rows
+    held = lambda t, o: t != o and len({x[1:] for x in cds[t] if any(inside(x, y) for y in cds[o])}) == len(cds[t])
+    want = {t for t in cds if not any(held(t, o) and (o < t or not held(o, t)) for o in cds)}
+    got = models.drop_contained(spark.createDataFrame(rows + rows[:200], "transcript_id string, chr string, start long, end long"), share=share)
+    assert sorted(x.transcript_id for x in got.collect()) == sorted(want) and 50 < len(want) < len(cds) - 50
+    assert "__bin" not in got._jdf.queryExecution().analyzed().toString()
