@@ -73,7 +73,7 @@ def held_by_another(start: np.ndarray, end: np.ndarray, size: np.ndarray, at: np
     up by length: those of 2^(n-1) to 2^n start in a window before it. Their models are then asked for the other
     ranges: of a model's own the last that starts early enough reaches furthest.
     """
-    model, first = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+    model, first = np.repeat(np.arange(len(size), dtype=np.int32), size), np.cumsum(size) - size
     gone = np.zeros(len(size), bool)
     key = first + at
     key_start, key_end = start[key], end[key]
@@ -93,10 +93,12 @@ def held_by_another(start: np.ndarray, end: np.ndarray, size: np.ndarray, at: np
 
     order = np.lexsort((start, model))
     start, end = start[order], end[order]
+    del s, e, inside, found, order
     low, high = start[first], end[first + size - 1]
     starts, rank = np.unique(start, return_inverse=True)
-    place = model * len(starts) + rank
-    level = np.frexp(np.maximum(end - start, 0).astype(float))[1]
+    place = model.astype(np.int64) * len(starts) + rank
+    rank = rank.astype(np.int32)
+    level = np.frexp(np.maximum(end - start, 0).astype(float))[1].astype(np.int8)
     key_level = np.frexp(np.maximum(key_end - key_start, 0).astype(float))[1]
     for n in np.unique(level)[::-1]:
         rows = np.flatnonzero(level == n)
@@ -115,7 +117,7 @@ def held_by_another(start: np.ndarray, end: np.ndarray, size: np.ndarray, at: np
             q, other, j = q[near], other[near], 0
             while len(q):
                 row = first[q] + j
-                last = np.searchsorted(place, other * len(starts) + rank[row], "right") - 1
+                last = np.searchsorted(place, other.astype(np.int64) * len(starts) + rank[row], "right") - 1
                 near = (last >= first[other]) & (end[last] >= end[row])
                 q, other, j = q[near], other[near], j + 1
                 gone[q[size[q] == j]] = True
@@ -140,8 +142,10 @@ def _held(t: pa.Table) -> pa.Table:
     live = low <= high
     low[~live] = high[~live] = 0
     shift = (np.cumsum(high - low + 1) - high - 1)[code]
-    gone = held_by_another(start + shift, end + shift, size, t.column("at").to_numpy().astype(np.int64), t.column("test").to_numpy())
-    return t.select(["id"]).filter(pa.array(gone))
+    start, end = start + shift, end + shift
+    at, test, t = t.column("at").to_numpy().astype(np.int64), t.column("test").to_numpy(), t.select(["id"])
+    del chrs, starts, ends, model, within, code, shift  # a region can be large
+    return t.filter(pa.array(held_by_another(start, end, size, at, test)))
 
 
 def _chains(cds: DataFrame) -> DataFrame:
